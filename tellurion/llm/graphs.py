@@ -17,18 +17,16 @@ def components(links: DataFrame) -> DataFrame:
     narrow rows whose minimum is taken on the map side; nothing gathers a node's neighbours in one place.
     Every step is written, so lineage stays short and a lost executor costs one step."""
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = written(edges, "links"), None
+    edges = written(edges, "links")
     while True:
+        # Done if every id is linked to one other, which is linked to none itself.
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("n")), F.struct(F.col("b").alias("id"), F.lit(0).alias("n")))).alias("e")).select("e.*")
+        if not ends.groupBy("id").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 or (n = 1 and least = 0)").take(1):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = written(small, "star")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = small.select("a", F.explode(F.array(F.col("m"), F.col("b"))).alias("b"), "m").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = written(small.distinct(), "star")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("class")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("class")).distinct())

@@ -9,7 +9,7 @@
    group's first; never all with all.
 4. Candidates are verified by the exact weighted Jaccard similarity of the whole texts, best first.  Linked
    documents join classes; then only pairs of different classes are left, and the groups are paired anew
-   by the classes they hold, until no pair is left to verify.
+   by the classes they hold.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ class NearDupParams:
     rows: int = 4
     #: log2 of the slots of the table of document frequencies.
     slots: int = 20
+    #: Times that groups are paired: first by their members, then by the classes that they hold.
+    turns: int = 3
     #: A pair whose samples agree in fewer than this share isn't verified: more than three standard
     #: deviations below 0.8.
     least_agree: float = 0.6
@@ -227,11 +229,13 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     one = reps.groupBy("rep").agg(F.min("samples").alias("samples"))
 
     part = lambda k, n: F.xxhash64(F.substring("samples", 1 + 4 * rows * (k % bands), 4 * n))
-    banded = one.select("rep", F.posexplode(F.array(*[F.struct(part(k, rows).alias("h"), part(k + 1, 2).alias("near")) for k in range(bands)])).alias("band", "s")).select("rep", "band", "s.*")
+    banded = one.select("rep", F.posexplode(F.array(*[part(k, rows) for k in range(bands)])).alias("band", "h"))
     groups = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1").select("band", "h")
-    members = written(banded.join(groups, ["band", "h"]), "members")
-    needed = one.join(members.select("rep").distinct(), "rep", "left_semi").withColumnRenamed("rep", "doc_id")
-    texts = written(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("samples").alias("samples")), "texts")
+    # In a group, similar documents lie close in the order of the next band's samples.
+    near = F.element_at(F.array(*[part(k + 1, 2) for k in range(bands)]), F.col("band") + 1)
+    members = written(banded.join(groups, ["band", "h"]).join(one, "rep").select("band", "h", near.alias("near"), F.struct("rep", "samples").alias("s")), "members")
+    needed = members.select(F.col("s.rep").alias("doc_id")).distinct()
+    texts = written(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = shared.value
@@ -250,51 +254,47 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         b = np.frombuffer(b"".join(y), dtype="<u4").reshape(-1, size)
         return pd.Series((a == b).mean(axis=1))
 
-    def side(name: str, column: str) -> DataFrame:
-        return texts.select(F.col("doc_id").alias(name), F.col(column).alias(f"{column}_{name}"))
-
     def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different classes, ca and cb."""
+        """The pairs whose ends are in different classes."""
         for end in ("a", "b"):
-            pairs = pairs.join(classes.select(F.col("id").alias(end), F.col("class").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        return pairs.where("ca <> cb")
+            pairs = pairs.join(classes.select(F.col("id").alias(end), F.col("class").alias(f"c{end}")), end, "left")
+        return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
     def link(pairs: DataFrame) -> DataFrame:
-        return written(pairs.select("a", "b").join(side("a", "text"), "a").join(side("b", "text"), "b").mapInPandas(verified, "a long, b long"), "linked")
-
-    classes, done = written(components(found), "classes"), None
-    turn = 0
-    while True:
-        # Of each group one member for each class that it holds (in the first turn all), dealt to salted
-        # parts; the first ones of the parts are paired as a group of their own.
-        held = members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        near = F.col("near") if turn == 0 else F.xxhash64("rep", "band", F.lit(turn))
-        pick = held.groupBy("band", "h", "class").agg(F.min(F.struct(near.alias("near"), "rep")).alias("m")).select("band", "h", "m.*")
-        pick = pick.withColumn("salt", F.pmod(F.xxhash64("near", F.lit(turn)), F.lit(16)))
-        inner = Window.partitionBy("band", "h", "salt").orderBy("near", "rep")
-        outer = Window.partitionBy("band", "h").orderBy("near", "rep")
-        step = pick.withColumn("prev", F.lag("rep").over(inner)).withColumn("lead", F.first("rep").over(inner))
-        heads = pick.withColumn("r", F.row_number().over(inner)).where("r = 1").drop("r").withColumn("prev", F.lag("rep").over(outer)).withColumn("lead", F.first("rep").over(outer))
-        pairs = step.unionByName(heads).select("rep", F.explode(F.array("prev", "lead")).alias("other")).where("other <> rep")
-        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        scored = written(pairs.join(side("a", "samples"), "a").join(side("b", "samples"), "b").select("a", "b", agreement("samples_a", "samples_b").alias("agree")), "pairs")
-        done = scored.select("a", "b") if done is None else done.unionByName(scored.select("a", "b"))
-        near_pairs, news = scored.where(F.col("agree") >= params.least_agree), 0
-        # First the best pair of every document, then what is left between different classes.
-        best = near_pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        for first in (True, False):
-            linked = link(best if first else apart(near_pairs, classes))
-            if fresh := linked.count():
-                news += fresh
-                found = written(found.unionByName(linked), "found")
-                classes = written(components(found), "classes")
-            if first and not fresh:
-                break
-        if not news:
+        for end in ("a", "b"):
+            pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
+        return written(pairs.mapInPandas(verified, "a long, b long"), "linked")
+
+    def neighbours(held: DataFrame, *keys: str) -> DataFrame:
+        """Each row with the two in front of it and the first of its group."""
+        w = Window.partitionBy(*keys).orderBy("near", "s.rep")
+        three = held.select("s", F.array(F.lag("s", 1).over(w), F.lag("s", 2).over(w), F.first("s").over(w)).alias("o"))
+        return three.select("s", F.explode("o").alias("o")).where("o.rep <> s.rep")
+
+    classes = written(components(found), "classes")
+    done = None
+    for turn in range(params.turns):
+        held = members
+        if turn:  # of each group one member for each class that it holds, in an order of this turn
+            held = held.join(classes.select(F.col("id").alias("_id"), "class"), F.col("s.rep") == F.col("_id"), "left").withColumn("near", F.xxhash64("s.rep", "band", F.lit(turn)))
+            held = held.groupBy("band", "h", F.coalesce("class", "s.rep").alias("class")).agg(F.min(F.struct("near", "s")).alias("m")).select("band", "h", "m.*")
+        # Groups are dealt to salted parts; the first ones of the parts make a group of their own.
+        held = held.withColumn("salt", F.pmod(F.xxhash64("near", F.lit(turn)), F.lit(16)))
+        heads = held.groupBy("band", "h", "salt").agg(F.min(F.struct("near", "s")).alias("m")).select("band", "h", "m.*")
+        pairs = neighbours(held, "band", "h", "salt").unionByName(neighbours(heads, "band", "h"))
+        pairs = pairs.withColumn("agree", agreement("s.samples", "o.samples")).where(F.col("agree") >= params.least_agree)
+        pairs = pairs.select(F.least("s.rep", "o.rep").alias("a"), F.greatest("s.rep", "o.rep").alias("b"), "agree").distinct()
+        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        before = found.count()
+        if turn == 0:  # first the best pair of every document; then what is left between classes
+            best = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("m"))
+            found = found.unionByName(link(best.select("m.a", "m.b").distinct()))
+            classes = written(components(found), "classes")
+        found = found.unionByName(link(apart(pairs.select("a", "b"), classes)))
+        if found.count() == before:
             break
-        turn += 1
+        classes = written(components(found), "classes")
     out = signs.join(reps.select("print", "rep"), "print", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     return out.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class"))
 
