@@ -1,12 +1,15 @@
 """The registered queries of this subpackage: one for each operator."""
 
 from .language import op1_language
+from .licenses import op6_licenses
 from .mixing import op7_mixing
 from .neardup import op2_neardup
+from .packing import op3_packing
+from .pages import op8_pages
 from .pieces import op5_pieces
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_neardup, op4_toxicity, op5_pieces, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_neardup, op3_packing, op4_toxicity, op5_pieces, op6_licenses, op7_mixing, op8_pages)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
