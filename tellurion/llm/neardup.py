@@ -166,6 +166,9 @@ def document_frequencies(docs: DataFrame, params: NearDupParams) -> tuple[np.nda
                 if len(found := np.unique(shingles(text, params.words))):
                     n += 1
                     held.append((found & np.uint64(size - 1)).astype(np.int64))
+                if len(held) >= 512:
+                    total += np.bincount(np.concatenate(held), minlength=size)
+                    held.clear()
             if held:
                 total += np.bincount(np.concatenate(held), minlength=size)
         if n:
