@@ -1,11 +1,535 @@
-"""The registered queries of the ground-motion operators, each with its SQL."""
+"""The registered queries of the ground-motion operators, each with its SQL where SQL can express it.
+
+Every query runs over whole tables.  Floats are rounded to 6 decimals on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import catalog, displacement, failure, field, matching, pairs, raster, velocity
+from ..sources import tables as T
 
 FLAGSHIP = "median_velocity_field"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+ROI, SEASON = (4.0, 3.0, 12.0, 9.0), ("-05-01", "-10-01")
+SIZE, SHAPE, BLOCK, OVERLAP = 8, (40, 50), 8, 0.5
+
+#: The views of sources.tables, in SQL.
+VIEWS = {
+    "scenes": "SELECT o_orderkey image_id, o_orderdate ts, o_totalprice - 100*floor(o_totalprice/100) cloud, o_custkey % 5 tile, (o_custkey % 10)::DOUBLE xmin, (o_orderkey % 7)::DOUBLE ymin, (o_custkey % 10 + 12)::DOUBLE xmax, (o_orderkey % 7 + 9)::DOUBLE ymax FROM orders",
+    "pixels": "SELECT l_orderkey image_id, l_quantity b3, l_discount*100 b11, l_tax*500 b8, CASE WHEN l_returnflag='R' THEN 1024 ELSE 0 END qa60 FROM lineitem",
+    "disp0": "SELECT (l_orderkey % 40)::INT pair_id, (l_partkey % 50)::INT x, (l_suppkey % 40)::INT y, (l_discount-0.05::DOUBLE)*100 u, (l_tax-0.04::DOUBLE)*100 v, 1+nullif(l_quantity,7)/50 pkr, nullif(l_quantity,9)/5 snr FROM lineitem",
+    "disp": "SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY x,y,u,v,pkr NULLS FIRST,snr NULLS FIRST)-1 pt_idx FROM disp0",
+    "years": "SELECT range::INT pair_id, 1 + (range % 8)/2 AS years FROM range(40)",
+    "terrain": "SELECT floor(p_partkey/50)::INT y, (p_partkey % 50)::INT x, p_retailprice dem, p_size::DOUBLE slope, (p_size*7 % 360)::DOUBLE aspect FROM part",
+    "intervals": "SELECT * FROM (SELECT user_id point, event_id pair_id, ts::DATE d1, (lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DATE d2, value v, 1+(event_id % 7)/10 pkr, (1+event_id % 11)::DOUBLE snr FROM events) WHERE d2 IS NOT NULL",
+    "long_intervals": "SELECT l_suppkey point, o_orderdate::DATE d1, l_shipdate::DATE d2, (l_tax-0.04::DOUBLE)*100 u, (l_discount-0.05::DOUBLE)*100 v, 1+l_quantity/50 pkr, l_quantity/5 snr FROM lineitem JOIN orders ON l_orderkey=o_orderkey",
+    "monthly": "SELECT l_suppkey pid, l_shipdate::DATE date, (l_discount-0.05::DOUBLE)*10 velocity FROM lineitem",
+    "field": "SELECT x, y, median(u)*10 u, median(v)*10 v, min(pair_id::BIGINT*100000000 + pt_idx) ord FROM disp GROUP BY x, y",
+    "rated": "SELECT *, sqrt(u*u+v*v) mag, atan2(v,u) ang FROM field",
+}
+NEEDS = {"disp": ["disp0"], "field": ["disp0", "disp"], "rated": ["disp0", "disp", "field"]}
+
+
+def sql(text: str, *views: str) -> str:
+    names: list[str] = []
+    for v in views:
+        names += [n for n in (*NEEDS.get(v, ()), v) if n not in names]
+    head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    return f"WITH {head} {text}" if not text.startswith(",") else f"WITH {head}{text}"
+
+
+def query(oracle: str | None = None, *views: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = sql(oracle, *views) if views else oracle
+        return f
+
+    return register
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+R = lambda *names: ", ".join(f"round({n},6) {n}" for n in names)
+
+# --- catalog ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT image_id, {R('cloud')} FROM scenes WHERE cloud < 50 AND xmin <= 4 AND xmax >= 12 AND ymin <= 3 AND ymax >= 9 AND xmin <= 13 AND xmax >= 3", "scenes")
+def scene_scan_filter(spark, d):
+    return catalog.covering(catalog.scan(T.scenes(spark, d), ROI, 50), ROI).select("image_id", *r6("cloud"))
+
+
+@query("SELECT image_id, round(100.0*sum(CASE WHEN qa60>0 THEN 1 ELSE 0 END)/count(*),6) cloud_pct FROM pixels GROUP BY 1 HAVING cloud_pct <= 40", "pixels")
+def scene_roi_cloud_pct(spark, d):
+    s = catalog.cloud_share(T.pixels(spark, d))
+    return catalog.at_most(s.select("image_id"), s, "cloud_pct", 40).select("image_id", *r6("cloud_pct"))
+
+
+@query("SELECT image_id, round(100.0*coalesce(sum(CASE WHEN (b3-b11)/nullif(b3+b11,0) > 0.4 THEN 1 ELSE 0 END),0)/coalesce(nullif(count(nullif(b3+b11,0)),0),1),6) snow_pct FROM pixels GROUP BY 1", "pixels")
+def scene_roi_snow_pct(spark, d):
+    return catalog.snow_share(T.pixels(spark, d)).select("image_id", *r6("snow_pct"))
+
+
+@query("SELECT image_id, round(b8,6) b8n, (CASE WHEN (b3-b8)/nullif(b3+b8,0) > 0 THEN NULL ELSE round(b8,6) END) b8 FROM pixels", "pixels")
+def water_mask(spark, d):
+    p = T.pixels(spark, d).withColumn("b8n", F.round("b8", 6))
+    return catalog.masked_water(p, "b8").select("image_id", "b8n", *r6("b8"))
+
+
+@query(", s AS (SELECT *, year(ts) y, row_number() OVER (PARTITION BY year(ts) ORDER BY ts, image_id)-1 i, count(*) OVER (PARTITION BY year(ts)) n FROM scenes WHERE month(ts) BETWEEN 5 AND 9 AND year(ts) BETWEEN 1996 AND 2000) SELECT image_id, y::INT AS year FROM s WHERE n <= 5 OR (i % (n//5) = 0 AND i/(n//5) < 5)", "scenes")
+def scene_season_sample(spark, d):
+    return catalog.season_sample(T.scenes(spark, d), 1996, 2000, 5, SEASON).select("image_id", F.col("year").cast("int").alias("year"))
+
+
+@query(", s AS (SELECT image_id, strftime(ts,'%Y-%m-%d')||'_'||tile date_tile, row_number() OVER (PARTITION BY ts::DATE, tile ORDER BY ts, image_id) n FROM scenes) SELECT image_id, date_tile FROM s WHERE n=1", "scenes")
+def scene_dedupe_tile(spark, d):
+    return catalog.one_per_tile_and_day(T.scenes(spark, d)).select("image_id", "date_tile")
+
+
+@query("SELECT year(ts)::INT AS year, count(*) n, CAST(min(ts)::DATE AS VARCHAR) first FROM scenes WHERE ts >= '1996-01-01' AND ts < '2000-01-01' GROUP BY 1", "scenes")
+def scene_counts(spark, d):
+    return catalog.between(T.scenes(spark, d), "1996-01-01", "2000-01-01").groupBy(F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.to_date(F.min("ts")).cast("string").alias("first"))
+
+
+# --- pairs -----------------------------------------------------------------------------------------
+
+
+def _months(spark, d):
+    """The first day of each month with scenes: one date for each."""
+    return T.scenes(spark, d).select(F.to_date(F.date_trunc("month", "ts")).alias("date")).distinct()
+
+
+MONTHS = ", m AS (SELECT DISTINCT date_trunc('month', ts)::DATE date FROM scenes), p AS (SELECT a.date dat1, b.date dat2, date_diff('day', a.date, b.date)/365.25::DOUBLE sep FROM m a JOIN m b ON b.date > a.date)"
+
+
+@query(MONTHS + " SELECT dat1::VARCHAR dat1, dat2::VARCHAR dat2, round(sep,6) sep FROM p WHERE sep > 1 AND sep < 5", "scenes")
+def date_pairs(spark, d):
+    return pairs.date_pairs(_months(spark, d)).select(F.col("dat1").cast("string"), F.col("dat2").cast("string"), *r6("sep"))
+
+
+@query(MONTHS + " SELECT dat1::VARCHAR dat1, dat2::VARCHAR dat2, round(sep,6) sep FROM p WHERE sep > 1 AND sep < 5 AND dat1 < '1998-06-15' AND dat2 > '1998-06-15'", "scenes")
+def date_pairs_reference(spark, d):
+    return pairs.date_pairs(_months(spark, d), reference="1998-06-15").select(F.col("dat1").cast("string"), F.col("dat2").cast("string"), *r6("sep"))
+
+
+@query(MONTHS + ", i AS (SELECT date_trunc('month', ts)::DATE date, max(image_id) idx FROM scenes GROUP BY 1) SELECT dat1::VARCHAR dat1, dat2::VARCHAR dat2, a.idx idx1, b.idx idx2 FROM p JOIN i a ON a.date=dat1 JOIN i b ON b.date=dat2 WHERE sep > 1 AND sep < 5", "scenes")
+def date_index_lookup(spark, d):
+    s = T.scenes(spark, d).select(F.to_date(F.date_trunc("month", "ts")).alias("date"), F.col("image_id").alias("idx"))
+    return pairs.with_indexes(pairs.date_pairs(_months(spark, d)), s).select(F.col("dat1").cast("string"), F.col("dat2").cast("string"), "idx1", "idx2")
+
+
+# --- filters over pairs ----------------------------------------------------------------------------
+
+MAG = "sqrt(u*u+v*v)"
+KEPT = "pair_id, pt_idx, x, y"
+
+
+def _kept(d):
+    return displacement.end(d).select("pair_id", "pt_idx", "x", "y", *r6("u", "v"))
+
+
+@query(f"SELECT {KEPT}, {R('u', 'v')} FROM disp WHERE {MAG} > 1 AND {MAG} < 4.5", "disp")
+def pair_magnitude(spark, d):
+    return _kept(displacement.by_magnitude(displacement.begin(T.displacements(spark, d)), 1, 4.5))
+
+
+@query(f", m AS (SELECT y, x, slope < 10 AS invalid FROM terrain) SELECT {', '.join('d.' + c for c in KEPT.split(', '))}, {R('u', 'v')} FROM disp d LEFT JOIN m ON m.y = least(greatest(d.y,0),39) AND m.x = least(greatest(d.x,0),49) WHERE NOT coalesce(invalid, false)", "disp", "terrain")
+def pair_zero_mask(spark, d):
+    mask = T.terrain(spark, d).select("y", "x", (F.col("slope") < 10).alias("invalid"))
+    return _kept(displacement.by_mask(displacement.begin(T.displacements(spark, d)), mask, *SHAPE))
+
+
+@query(f", s AS (SELECT *, avg(u) OVER w mu, stddev_pop(u) OVER w su, avg(v) OVER w mv, stddev_pop(v) OVER w sv FROM disp WINDOW w AS (PARTITION BY pair_id)) SELECT {KEPT}, {R('u', 'v')} FROM s WHERE abs(u-mu) < 1.3*su AND abs(v-mv) < 1.3*sv", "disp")
+def pair_deviation(spark, d):
+    return _kept(displacement.by_deviation(displacement.begin(T.displacements(spark, d)), 1.3))
+
+
+@query(f", s AS (SELECT *, median(u) OVER (PARTITION BY pair_id) mu, median(v) OVER (PARTITION BY pair_id) mv FROM disp) SELECT {KEPT}, round(u-mu,6) u, round(v-mv,6) v FROM s", "disp")
+def pair_remove_median(spark, d):
+    return _kept(displacement.without_median(displacement.begin(T.displacements(spark, d))))
+
+
+@query(f", s AS (SELECT *, count(pkr) OVER (PARTITION BY pair_id) np, count(snr) OVER (PARTITION BY pair_id) ns FROM disp) SELECT {KEPT}, {R('u', 'v')} FROM s WHERE (np=0 OR pkr>=1.3) AND (ns=0 OR snr>=3)", "disp")
+def pair_pkr_snr(spark, d):
+    return _kept(displacement.by_quality(displacement.by_quality(displacement.begin(T.displacements(spark, d)), "pkr", 1.3), "snr", 3))
+
+
+DEFAULT = f", s AS (SELECT *, {MAG} > 0 AS ok FROM disp), t AS (SELECT *, median(CASE WHEN ok THEN u END) OVER (PARTITION BY pair_id) mu, median(CASE WHEN ok THEN v END) OVER (PARTITION BY pair_id) mv FROM s)"
+
+
+@query(DEFAULT + f" SELECT {KEPT}, round(u-mu,6) u, round(v-mv,6) v FROM t WHERE ok AND pkr>=1.3 AND snr>=3", "disp")
+def pair_filter_default(spark, d):
+    return displacement.filter_pairs(T.displacements(spark, d)).select("pair_id", "pt_idx", "x", "y", *r6("u", "v"))
+
+
+def _gauss(sigma: float = 1.0) -> str:
+    from ..functions.arrays import gaussian_weights
+
+    w = gaussian_weights(sigma)
+    return ", ".join(f"({k - len(w) // 2}, {x!r}::DOUBLE)" for k, x in enumerate(w))
+
+
+ANGLE = f""", n AS (SELECT *, count(*) OVER (PARTITION BY pair_id) n, coalesce(u/nullif(sqrt(u*u+v*v),0),0) c, coalesce(v/nullif(sqrt(u*u+v*v),0),0) s FROM disp),
+g(k, w) AS (VALUES {_gauss()}),
+e AS (SELECT pair_id, pt_idx, w, CASE WHEN m < n THEN m ELSE 2*n-1-m END j FROM (SELECT pair_id, pt_idx, n, w, ((pt_idx+k) % (2*n) + 2*n) % (2*n) m FROM n, g)),
+a AS (SELECT e.pair_id, e.pt_idx, sum(w*c) c, sum(w*s) s FROM e JOIN n ON n.pair_id=e.pair_id AND n.pt_idx=e.j GROUP BY 1, 2)
+SELECT n.pair_id, n.pt_idx, n.x, n.y, {R('u', 'v')} FROM n JOIN a USING (pair_id, pt_idx)
+WHERE degrees(abs(atan2(sin(atan2(v,u)-atan2(a.s,a.c)), cos(atan2(v,u)-atan2(a.s,a.c))))) <= 41.7"""
+
+
+@query(ANGLE, "disp")
+def pair_angular_coherence(spark, d):
+    return _kept(displacement.by_angle(displacement.begin(T.displacements(spark, d)), 41.7))
+
+
+RUNNING = ", n AS (SELECT *, count(*) OVER (PARTITION BY pair_id) n FROM disp), e AS (SELECT pair_id, pt_idx, least(greatest(pt_idx+k,0),n-1) j FROM n, (SELECT range-2 k FROM range(5))), m AS (SELECT e.pair_id, e.pt_idx, median(u) mu, median(v) mv FROM e JOIN n ON n.pair_id=e.pair_id AND n.pt_idx=e.j GROUP BY 1,2)"
+
+
+@query(RUNNING + f" SELECT n.pair_id, n.pt_idx, n.x, n.y, {R('u', 'v')} FROM n JOIN m USING (pair_id, pt_idx) WHERE abs(sqrt(u*u+v*v)-sqrt(mu*mu+mv*mv)) < 2.03", "disp")
+def pair_erratic(spark, d):
+    return _kept(displacement.by_neighbours(displacement.begin(T.displacements(spark, d)), 2.03))
+
+
+@query(RUNNING + " SELECT n.pair_id, n.pt_idx, n.x, n.y, round(mu,6) u, round(mv,6) v FROM n JOIN m USING (pair_id, pt_idx)", "disp")
+def pair_median_smooth(spark, d):
+    return _kept(displacement.median_smoothed(displacement.begin(T.displacements(spark, d))))
+
+
+# --- the field -------------------------------------------------------------------------------------
+
+
+@query(DEFAULT + f", f AS (SELECT x, y, median((u-mu)/years)*10 u, median((v-mv)/years)*10 v FROM t JOIN years USING (pair_id) WHERE ok AND pkr>=1.3 AND snr>=3 GROUP BY 1, 2) SELECT x, y, {R('u', 'v')}, round({MAG},6) mag FROM f", "disp", "years")
+def median_velocity_field(spark, d):
+    return displacement.median_field(displacement.filter_pairs(T.displacements(spark, d)), T.pair_years(spark, d)).select("x", "y", *r6("u", "v", "mag"))
+
+
+@query(f"SELECT x, y, {R('u', 'v', 'mag', 'ang')} FROM rated", "rated")
+def median_displacement_field(spark, d):
+    return _field(spark, d).select("x", "y", *r6("u", "v", "mag", "ang"))
+
+
+def _field(spark, d):
+    return displacement.median_field(T.displacements(spark, d), None)
+
+
+@query(", k AS (SELECT y, x, greatest(cos(radians(slope)),1e-3::DOUBLE) k FROM terrain) SELECT f.x, f.y, round(u/k,6) u, round(v/k,6) v FROM field f JOIN k USING (x, y)", "field", "terrain")
+def slope_corrected_field(spark, d):
+    return displacement.median_field(T.displacements(spark, d), None, slope=T.terrain(spark, d)).select("x", "y", *r6("u", "v"))
+
+
+@query(f"SELECT x, y, {R('mag')} FROM rated WHERE mag > (SELECT quantile_cont(mag, 0.95) FROM rated)", "rated")
+def field_p95_threshold(spark, d):
+    return field.above(_field(spark, d)).select("x", "y", *r6("mag"))
+
+
+COHERENT = f""", o AS (SELECT *, row_number() OVER (ORDER BY ord)-1 i, count(*) OVER () n FROM rated), g(k, w) AS (VALUES {_gauss()}),
+e AS (SELECT i, w, CASE WHEN m < n THEN m ELSE 2*n-1-m END j FROM (SELECT i, n, w, ((i+k) % (2*n) + 2*n) % (2*n) m FROM o, g)),
+a AS (SELECT e.i, sum(w*cos(ang)) c, sum(w*sin(ang)) s FROM e JOIN o ON o.i = e.j GROUP BY 1)
+SELECT x, y, {R('mag')} FROM o JOIN a USING (i) WHERE degrees(abs(atan2(sin(ang-atan2(s,c)), cos(ang-atan2(s,c))))) <= 41.7"""
+
+
+@query(COHERENT, "rated")
+def field_angular_coherence(spark, d):
+    return field.coherent(_field(spark, d), 41.7).select("x", "y", *r6("mag"))
+
+
+@query(f"SELECT f.x, f.y, {R('mag')} FROM rated f JOIN terrain t USING (x, y) WHERE slope >= 20", "rated", "terrain")
+def field_slope(spark, d):
+    return field.steep(_field(spark, d), T.terrain(spark, d), 20).select("x", "y", *r6("mag"))
+
+
+ASPECT = ", t AS (SELECT f.x, f.y, mag, ((-aspect-270) % 360 + 360) % 360 a, (degrees(atan2(-v,u)) % 360 + 360) % 360 b FROM rated f JOIN terrain USING (x, y))"
+
+
+@query(ASPECT + f" SELECT x, y, {R('mag')} FROM t WHERE least(((a-b) % 360 + 360) % 360, 360-((a-b) % 360 + 360) % 360) <= 44.7", "rated", "terrain")
+def field_aspect(spark, d):
+    return field.downhill(_field(spark, d), T.terrain(spark, d), 44.7).select("x", "y", *r6("mag"))
+
+
+DENSE = ", p AS (SELECT x, y, mag FROM rated WHERE mag > 12.5), core AS (SELECT a.x, a.y FROM p a JOIN p b ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 9 GROUP BY 1, 2 HAVING count(*) >= 5)"
+
+
+@query(DENSE + f" SELECT x, y, {R('mag')} FROM p WHERE EXISTS (SELECT 1 FROM core c WHERE (c.x-p.x)*(c.x-p.x)+(c.y-p.y)*(c.y-p.y) <= 9)", "rated")
+def field_density_cluster(spark, d):
+    return field.dense(field.above(_field(spark, d), 12.5), 3, 5).select("x", "y", *r6("mag"))
+
+
+@query(None)
+def field_final_map(spark, d):
+    return field.final_map(_field(spark, d), T.terrain(spark, d), threshold=5, tolerance=90, eps=20, least=9).select("x", "y", *r6("u", "v", "mag"))
+
+
+# --- rasters ---------------------------------------------------------------------------------------
+
+STEP, GH, GW = raster.stride(BLOCK, OVERLAP), (SHAPE[0] - BLOCK) // 4 + 1, (SHAPE[1] - BLOCK) // 4 + 1
+CELLS = f", c AS (SELECT a.range::INT gy, b.range::INT gx FROM range({GH}) a, range({GW}) b), p AS (SELECT *, floor((y-4.0)/4)::INT gy, floor((x-4.0)/4)::INT gx FROM rated)"
+
+
+@query(CELLS + " SELECT c.gy, c.gx, round(coalesce(sum(mag),0),6) mag FROM c LEFT JOIN p USING (gy, gx) GROUP BY 1, 2", "rated")
+def magnitude_map_sum(spark, d):
+    return raster.magnitude_sum(_field(spark, d), SHAPE, BLOCK, OVERLAP).select("gy", "gx", *r6("mag"))
+
+
+@query(CELLS + ", l AS (SELECT gy, gx, arg_max(u, ord) u, arg_max(v, ord) v FROM p GROUP BY 1, 2) SELECT c.gy, c.gx, round(coalesce(u,0),6) u, round(coalesce(v,0),6) v, round(coalesce(sqrt(u*u+v*v),0),6) mag, round(coalesce((degrees(atan2(v,u)) % 360 + 360) % 360, 0),6) ang_deg FROM c LEFT JOIN l USING (gy, gx)", "rated")
+def raster_maps(spark, d):
+    return raster.velocity_grids(_field(spark, d), SHAPE, BLOCK, OVERLAP).select("gy", "gx", *r6("u", "v", "mag", "ang_deg"))
+
+
+@query(", g AS (SELECT *, lag(dem) OVER a pa, lead(dem) OVER a na, lag(dem) OVER b pb, lead(dem) OVER b nb FROM terrain WINDOW a AS (PARTITION BY y ORDER BY x), b AS (PARTITION BY x ORDER BY y)), h AS (SELECT y, x, coalesce((na-pa)/20, (na-dem)/10, (dem-pa)/10, 0) gx, coalesce((nb-pb)/20, (nb-dem)/10, (dem-pb)/10, 0) gy FROM g) SELECT y, x, round(degrees(atan(sqrt(gx*gx+gy*gy))),6) slope_deg FROM h", "terrain")
+def terrain_slope(spark, d):
+    return raster.slope(T.terrain(spark, d)).select("y", "x", *r6("slope_deg"))
+
+
+@query(", o AS (SELECT a.range::INT y, b.range::INT x, a.range*39/59.0::DOUBLE fy, b.range*49/79.0::DOUBLE fx FROM range(60) a, range(80) b), f AS (SELECT y, x, least(floor(fy)::INT+i.range,39)::INT sy, least(floor(fx)::INT+j.range,49)::INT sx, (1-abs(fy-floor(fy)-i.range))*(1-abs(fx-floor(fx)-j.range)) w FROM o, range(2) i, range(2) j) SELECT f.y, f.x, round(sum(w*dem),6) dem FROM f JOIN terrain t ON t.y=sy AND t.x=sx GROUP BY 1, 2", "terrain")
+def terrain_bilinear(spark, d):
+    return raster.bilinear(T.terrain(spark, d), "dem", SHAPE, (60, 80)).select("y", "x", *r6("dem"))
+
+
+def _mask(spark, d):
+    return T.terrain(spark, d).select(F.col("y").alias("gy"), F.col("x").alias("gx"), (F.col("slope") > 22).alias("on"))
+
+
+MASK = ", m AS (SELECT y gy, x gx, slope > 22 AS \"on\" FROM terrain)"
+NEAR = "SELECT a.gy, a.gx, sum(b.\"on\"::INT) ons, count(*) cells FROM {0} a JOIN {0} b ON abs(a.gy-b.gy) <= 1 AND abs(a.gx-b.gx) <= 1 GROUP BY 1, 2"
+
+
+@query(MASK + f", n AS ({NEAR.format('m')}) SELECT gy, gx, ons > 0 AS \"on\" FROM n", "terrain")
+def mask_dilate(spark, d):
+    return raster.dilated(_mask(spark, d))
+
+
+@query(MASK + f", n AS ({NEAR.format('m')}), k AS (SELECT gy, gx, ons > 0 AS \"on\" FROM n), e AS ({NEAR.format('k')}) SELECT gy, gx, ons = cells AS \"on\" FROM e", "terrain")
+def mask_close(spark, d):
+    return raster.closed(_mask(spark, d))
+
+
+@query(MASK + f", n AS ({NEAR.format('m')}) SELECT gy, gx, ons >= 5 AS \"on\" FROM n", "terrain")
+def mask_majority(spark, d):
+    return raster.majority(_mask(spark, d))
+
+
+@query(", o AS (SELECT a.range::INT y, b.range::INT x, least(floor((a.range+0.5)*40/80),39)::INT gy, least(floor((b.range+0.5)*50/100),49)::INT gx FROM range(80) a, range(100) b) SELECT o.y, o.x, slope FROM o JOIN terrain t ON t.y=gy AND t.x=gx", "terrain")
+def mask_nearest_upsample(spark, d):
+    return raster.upsampled(T.terrain(spark, d).select(F.col("y").alias("gy"), F.col("x").alias("gx"), "slope"), "slope", SHAPE, (80, 100))
+
+
+def _stack(spark, d):
+    return T.table(spark, d, "embeddings").select(F.col("vec_id").alias("scene"), F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "v")).select("scene", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), "v")
+
+
+STACK = "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1)-1 p FROM embeddings), s AS (SELECT vec_id scene, (p//8)::INT y, (p % 8)::INT x, v FROM e), w AS (SELECT *, min(v) OVER q lo, max(v) OVER q hi FROM s WINDOW q AS (PARTITION BY scene))"
+
+
+@query(STACK + " SELECT scene, y, x, floor((v-lo)/(hi-lo)*255)::BIGINT v FROM w")
+def scale_to_8bit(spark, d):
+    return raster.scaled_8bit(_stack(spark, d))
+
+
+@query(STACK + " SELECT y, x, bool_or(floor((v-lo)/(hi-lo)*255) = 0) invalid FROM w GROUP BY 1, 2")
+def zero_mask(spark, d):
+    return raster.zero_mask(raster.scaled_8bit(_stack(spark, d)))
+
+
+@query(STACK + ", z AS (SELECT scene, y, x, (v-lo)/(hi-lo) v FROM w) SELECT scene, y, x, round((v - avg(v) OVER q)/stddev_pop(v) OVER q, 6) v FROM z WINDOW q AS (PARTITION BY scene)")
+def zscore(spark, d):
+    return raster.standardised(_stack(spark, d)).select("scene", "y", "x", *r6("v"))
+
+
+@query(None)
+def naof(spark, d):
+    return raster.orientation(_stack(spark, d), SIZE, SIZE).select("scene", "y", "x", *r6("v"))
+
+
+# --- series ----------------------------------------------------------------------------------------
+
+
+@query(", p AS (SELECT DISTINCT x, y FROM disp WHERE pkr >= 1.9) SELECT pair_id, pt_idx, x, y, round(-u*10,6) u_values, round(-v*10,6) v_values, round(u*10/years,6) u_velocity, round(v*10/years,6) v_velocity FROM disp JOIN years USING (pair_id) WHERE (x, y) IN (SELECT (x, y) FROM p) AND years > 0", "disp", "years")
+def interval_velocity(spark, d):
+    disp = T.displacements(spark, d)
+    points = disp.where("pkr >= 1.9").select("x", "y").distinct()
+    return velocity.interval_table(disp, T.pair_years(spark, d), points).select("pair_id", "pt_idx", "x", "y", *r6("u_values", "v_values", "u_velocity", "v_velocity"))
+
+
+MID = ", m AS (SELECT point, make_timestamp(((epoch(d1)+epoch(d2))/2*1000000)::BIGINT) \"at\", v FROM long_intervals WHERE snr >= 3 AND pkr >= 1.3)"
+
+
+def _bins(name: str, months: int) -> str:
+    return f", b0 AS (SELECT point, year(\"at\")*12+month(\"at\")-1 m, v FROM {name}), b1 AS (SELECT *, min(m) OVER (PARTITION BY point) m0 FROM b0), b2 AS (SELECT point, m0, ceil((m-m0)/{months})::INT k, median(v) velocity FROM b1 GROUP BY 1, 2, 3), b3 AS (SELECT point, m0, unnest(range(max(k)+1))::INT k FROM b2 GROUP BY 1, 2), bins AS (SELECT point, last_day(make_date(((m0+k*{months})//12)::INT, ((m0+k*{months})%12+1)::INT, 1)) date, velocity FROM b3 LEFT JOIN b2 USING (point, m0, k))"
+
+
+@query(MID + " SELECT point, strftime(\"at\",'%Y-%m-%d %H') \"at\", round(v,6) v FROM m", "long_intervals")
+def midpoint_series(spark, d):
+    return velocity.midpoints(T.long_intervals(spark, d), 3, 1.3).select("point", F.date_format("at", "yyyy-MM-dd HH").alias("at"), *r6("v"))
+
+
+@query(MID + _bins("m", 6) + " SELECT point, date::VARCHAR date, round(velocity,6) velocity FROM bins", "long_intervals")
+def midpoint_bins(spark, d):
+    return velocity.binned(velocity.midpoints(T.long_intervals(spark, d), 3, 1.3), "at", 6).select("point", F.col("date").cast("string"), *r6("velocity"))
+
+
+DAILY = ", x AS (SELECT point, unnest(generate_series(d1, d2, INTERVAL 1 DAY))::DATE \"at\", v FROM intervals WHERE d2 > d1 AND snr >= 3 AND pkr >= 1.3 AND v IS NOT NULL), daily AS (SELECT point, \"at\", median(v) v FROM x GROUP BY 1, 2)"
+
+
+@query(DAILY + " SELECT point, \"at\"::VARCHAR \"at\", round(v,6) v FROM daily", "intervals")
+def daily_series(spark, d):
+    return velocity.daily(T.intervals(spark, d), 3, 1.3).select("point", F.col("at").cast("string"), *r6("v"))
+
+
+@query(DAILY + _bins("daily", 4) + " SELECT point, date::VARCHAR date, round(velocity,6) velocity FROM bins", "intervals")
+def weighted_bins(spark, d):
+    return velocity.binned(velocity.daily(T.intervals(spark, d), 3, 1.3), "at", 4).select("point", F.col("date").cast("string"), *r6("velocity"))
+
+
+@query(None)
+def lsqr_series(spark, d):
+    return velocity.binned(velocity.least_squares(T.intervals(spark, d), weight="snr"), "at", 6).select("point", F.col("date").cast("string"), *r6("velocity"))
+
+
+def _merged(spark, d):
+    return velocity.velocity_series(T.long_intervals(spark, d), "midpoint", 6)
+
+
+def _both(select: str) -> str:
+    u, v = (f"(SELECT point, make_timestamp(((epoch(d1)+epoch(d2))/2*1000000)::BIGINT) \"at\", {c} v FROM long_intervals WHERE snr >= 3 AND pkr >= 1.3)" for c in "uv")
+    rename = lambda s, p: s.replace("b0", f"{p}0").replace("b1", f"{p}1").replace("b2", f"{p}2").replace("b3", f"{p}3").replace("bins", f"{p}bins")
+    return rename(_bins(u, 6), "u") + rename(_bins(v, 6), "v") + ", both_ AS (SELECT point, date, a.velocity u_velocity, b.velocity v_velocity, 'D'||strftime(date,'%Y%m%d') formatted_date FROM ubins a FULL JOIN vbins b USING (point, date)) " + select
+
+
+@query(_both(f"SELECT point, date::VARCHAR date, {R('u_velocity', 'v_velocity')}, formatted_date FROM both_"), "long_intervals")
+def merge_components(spark, d):
+    return _merged(spark, d).select("point", F.col("date").cast("string"), *r6("u_velocity", "v_velocity"), "formatted_date")
+
+
+YEAR_ENDS = ["19980131", "19980630", "19980731", "19981231"]
+
+
+def _wide(name: str, component: str, native):
+    cols = ", ".join(f"round_even(max(CASE WHEN formatted_date='D{x}' THEN {component} END),2) D{x}" for x in YEAR_ENDS)
+
+    def f(spark, d):
+        return velocity.wide(_merged(spark, d), native(), YEAR_ENDS).select("point", F.round("median_velocity", 6).alias("median_velocity"), *[F.round(f"D{x}", 6).alias(f"D{x}") for x in YEAR_ENDS])
+
+    f.__name__ = name
+    query(_both(f"SELECT point, round_even(median({component}),1) median_velocity, {cols} FROM both_ GROUP BY 1"), "long_intervals")(f)
+
+
+_wide("export_wide_we", "u_velocity", lambda: F.col("u_velocity"))
+_wide("export_wide_ns", "v_velocity", lambda: F.col("v_velocity"))
+_wide("export_wide_mag", "sqrt(u_velocity*u_velocity+v_velocity*v_velocity)", velocity.magnitude)
+
+
+@query(None)
+def rmse_poly3(spark, d):
+    return velocity.cubic_rmse(_merged(spark, d), "u_velocity").select("point", *r6("rmse"))
+
+
+@query(_both("SELECT point, round(median(u_velocity),6) median_velocity FROM both_ GROUP BY 1 ORDER BY median_velocity DESC, point LIMIT 10"), "long_intervals")
+def top_fastest(spark, d):
+    return velocity.fastest(_merged(spark, d).groupBy("point").agg(F.round(F.median("u_velocity"), 6).alias("median_velocity")))
+
+
+@query(_both(f", p AS (SELECT DISTINCT point, (point//40)::INT gy, (point%40)::INT gx FROM both_), dd AS (SELECT date, row_number() OVER (ORDER BY date)::INT band FROM (SELECT DISTINCT date FROM both_)), c AS (SELECT DISTINCT gy, gx FROM p), m AS (SELECT date, gy, gx, max(sqrt(u_velocity*u_velocity+v_velocity*v_velocity)) mag FROM both_ JOIN p USING (point) GROUP BY 1,2,3) SELECT band, date::VARCHAR date, gy, gx, round(coalesce(mag,-9999),6) mag FROM c CROSS JOIN dd LEFT JOIN m USING (date, gy, gx)").replace(") , p AS", "), p AS"), "long_intervals")
+def multiband_magnitude(spark, d):
+    s = _merged(spark, d)
+    p = s.select("point").distinct().select("point", F.floor(F.col("point") / 40).cast("int").alias("gy"), (F.col("point") % 40).cast("int").alias("gx"))
+    return velocity.multiband(s, p).select(F.col("band").cast("int"), F.col("date").cast("string"), "gy", "gx", *r6("mag"))
+
+
+@query(", a AS (SELECT x, y FROM rated WHERE mag > 5), b AS (SELECT x, y FROM terrain WHERE slope > 22) SELECT x, y FROM a INTERSECT SELECT x, y FROM b", "rated", "terrain")
+def points_intersection(spark, d):
+    return field.within(field.above(_field(spark, d), 5), T.terrain(spark, d).where("slope > 22"))
+
+
+# --- failure ---------------------------------------------------------------------------------------
+
+INVERSE = ", i AS (SELECT pid, date_trunc('month', date)::DATE AS month, median(1/nullif(velocity,0)) inverse FROM monthly GROUP BY 1, 2)"
+FAIL = INVERSE + ", r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY month DESC) r, count(*) OVER (PARTITION BY pid) AS months FROM i), n AS (SELECT pid, month, inverse, n FROM r, (SELECT unnest([3,4,5,6,7])::INT n) WHERE months >= n AND r <= n AND inverse IS NOT NULL), t AS (SELECT *, min(month) OVER (PARTITION BY pid, n) t0 FROM n), f AS (SELECT pid, n, t0, count(*) c, regr_slope(inverse, date_diff('day', t0, month)) m, regr_intercept(inverse, date_diff('day', t0, month)) b FROM t GROUP BY 1,2,3), z AS (SELECT pid, n, to_timestamp(epoch(t0) + floor(-b/m*86400)) failure_date FROM f WHERE c >= 2 AND m < 0 AND -b/m > 0 AND -b/m <= date_diff('day', t0, DATE '2100-01-01'))"
+
+
+@query(INVERSE + " SELECT pid, month::VARCHAR AS month, round(inverse,6) inverse FROM i", "monthly")
+def inverse_velocity_monthly(spark, d):
+    return failure.monthly_inverse(T.monthly(spark, d)).select("pid", F.col("month").cast("string"), *r6("inverse"))
+
+
+def _failures(spark, d):
+    return failure.failures(failure.monthly_inverse(T.monthly(spark, d)), [3, 4, 5, 6, 7])
+
+
+@query(FAIL + " SELECT pid, n, strftime(failure_date AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM z", "monthly")
+def failure_dates(spark, d):
+    return _failures(spark, d).select("pid", "n", F.date_format("failure_date", "yyyy-MM-dd").alias("day"))
+
+
+@query(FAIL + " SELECT n, strftime(failure_date AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) cnt FROM z GROUP BY 1, 2", "monthly")
+def failure_month_counts(spark, d):
+    return failure.failure_months(_failures(spark, d))
+
+
+@query(FAIL + ", h AS (SELECT n, strftime(failure_date AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) cnt FROM z GROUP BY 1, 2) SELECT n, month, cnt FROM h QUALIFY row_number() OVER (PARTITION BY n ORDER BY cnt DESC, month) = 1", "monthly")
+def failure_month_mode(spark, d):
+    return failure.likeliest(failure.failure_months(_failures(spark, d)))
+
+
+# --- matching --------------------------------------------------------------------------------------
+
+CENTRED = "list_transform(e, lambda x: x - list_avg(e))"
+NCC = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), z AS (SELECT vec_id, {CENTRED} e FROM v),
+k AS (SELECT a.vec_id block_id, a.e a, b.e b, sqrt(list_inner_product(a.e,a.e))*sqrt(list_inner_product(b.e,b.e))*64 k FROM z a JOIN z b ON b.vec_id = a.vec_id + 1),
+c AS (SELECT block_id, s.range s, list_sum(list_transform(range(64), lambda p: a[1 + ((p//8 + s.range//8 + 4) % 8)*8 + (p % 8 + s.range % 8 + 4) % 8] * b[1 + p]))/k c FROM k, range(64) s),
+t AS (SELECT block_id, arg_max(s, (round(c, 12), -s)) s, max(c) top, avg(abs(c)) mean FROM c GROUP BY 1),
+q AS (SELECT block_id, max(c.c) AS other FROM c JOIN t USING (block_id) WHERE abs(c.s//8 - t.s//8) > 1 OR abs(c.s % 8 - t.s % 8) > 1 GROUP BY 1)"""
+
+
+def _matches(spark, d):
+    return matching.peaks(matching.ncc_surface(T.blocks(spark, d), SIZE), SIZE)
+
+
+@query(NCC + " SELECT block_id, (4 - s % 8)::INT u, (4 - s//8)::INT v FROM t")
+def ncc_peak(spark, d):
+    return _matches(spark, d).select("block_id", "u", "v")
+
+
+@query(NCC + " SELECT block_id, round(top/(mean+1e-10::DOUBLE),6) snr, round(top/(other+1e-10::DOUBLE),6) pkr FROM t JOIN q USING (block_id)")
+def ncc_pkr_snr(spark, d):
+    return _matches(spark, d).select("block_id", *r6("snr", "pkr"))
+
+
+def _subpixel(method: str):
+    def f(spark, d):
+        return matching.match_ncc(T.blocks(spark, d), SIZE, method).select("block_id", *r6("u", "v"))
+
+    f.__name__ = f"subpixel_{method}"
+    query(None)(f)
+
+
+for _m in matching.SUBPIXEL[1:]:
+    _subpixel(_m)
+
+
+@query(None)
+def pcc_peak(spark, d):
+    return matching.match_pcc(T.blocks(spark, d), SIZE, "none").select("block_id", "u", "v", *r6("snr", "pkr"))
+
+
+@query(None)
+def pcc_upsampled(spark, d):
+    return matching.match_upsampled(T.blocks(spark, d), SIZE).select("block_id", *r6("u", "v"))
+
+
+def _mean_shift(a, b):
+    return float(b.mean() - a.mean()), 0.0, None, None
+
+
+@query("WITH v AS (SELECT vec_id, list_avg(embedding::DOUBLE[]) m FROM embeddings) SELECT a.vec_id block_id, round(a.m - b.m, 6) u FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+def custom_match_udf(spark, d):
+    return matching.match_by(T.blocks(spark, d), SIZE, _mean_shift).select("block_id", *r6("u"))
