@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_by_class, table
+from .common import bounded_by_class, small_batches, table
 
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,7 @@ def held_out(doc_id: Column) -> Column:
 def fit_language_model(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Learns from `text` and non-null `lang` of `docs`.  Words and n-grams are counted on the executors;
     what reaches the driver is bounded by `params` and the number of languages."""
+    small_batches(docs.sparkSession)
     top = max(len(params.grams), 1)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,6 +124,7 @@ def fit_language_model(docs: DataFrame, params: LanguageParams = LanguageParams(
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Adds lang_pred and score to every row.  Only the text counts.  Null texts and texts without a
     letter give `und` and 0.  No shuffle; columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

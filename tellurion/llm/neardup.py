@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 from .graphs import components
 
 
@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     are the same document; if their texts differ, links from any copy of any of them count, and the least
     of them is compared with others.  Rows without a doc_id have a null class."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     slots, documents = document_frequencies(docs, params)
     shared = spark.sparkContext.broadcast(Weights(slots, documents))  # 2**slots numbers

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, params: PackP
     of the document's ids on.  A null or empty text is its end id alone.  Rows with the same doc_id stay
     separate pieces.  Null doc_ids are kept as null.  pack_id is unique within a result."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))  # a vocabulary of a fixed size
     if params.end > 65535:
         raise ValueError("ids of 16 bits only")

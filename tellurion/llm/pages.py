@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unit_hash
+from .common import small_batches, table, unit_hash
 
 #: Elements that hold no text of a page, that hold other things than its article, that
 #: have no content, and that begin a block of their own.
@@ -166,6 +166,8 @@ def extract_pages(pages: DataFrame, weights: PageWeights) -> DataFrame:
     """Of every row: page_id, url, text and n_chars.  The whole html is read; null is empty.  Pages
     without main text get an empty text.  No shuffle."""
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLANK = "▁"
 #: Units remembered by a Python worker, and the longest one remembered.
-MEMO_UNITS, MEMO_CHARS = 400_000, 48
+MEMO_UNITS, MEMO_CHARS = 200_000, 48
 
 
 class PieceTables:
@@ -280,6 +282,7 @@ def decode_documents(docs: DataFrame, model_path: str, ids: str = "ids") -> Data
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """Of every row: doc_id, n_tokens, ids_sha256, decoded_sha256.  The rows stay where they are: there
     is no shuffle, and a lost task is computed anew from its input.  Repeated rows give repeated rows."""
+    small_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(load_tables(model_path))
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

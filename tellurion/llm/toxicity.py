@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_by_class, table, written
+from .common import bounded_by_class, small_batches, table, written
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -193,6 +193,7 @@ def score_severity(docs: DataFrame, model: OrdinalModel, text: str = "text") ->
     """Adds severity (the expected grade), p_toxic (that of any grade above 0), grade (thresholds passed)
     and toxic.  Null and empty texts have no features and get what the thresholds alone give.  No shuffle;
     columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("severity double, p_toxic double, grade int, toxic boolean")
