@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_held: dict = {}
+
+
+def held_by_worker(key: object, build: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so that the tables of one operator
+    make room for the next one's."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def unit_hash(*cols: Column) -> Column:
     """A number from 0 to 1 that depends on the given columns alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -9,6 +9,7 @@ fixed penalty where a language doesn't know what others know; the least wins.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_by_class, small_batches, table
+from .common import bounded_by_class, held_by_worker, small_batches, table
 
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -31,8 +32,8 @@ class LanguageParams:
     texts, chosen by a hash of doc_id; the tables keep the most frequent entries of each length."""
 
     train_docs: int = 2000
-    words: int = 20_000
-    grams: tuple[int, ...] = (1_000, 5_000, 10_000, 10_000, 10_000)
+    words: int = 12_000
+    grams: tuple[int, ...] = (500, 4_000, 8_000, 8_000, 8_000)
     least_count: int = 2
 
 
@@ -41,20 +42,22 @@ class LanguageModel:
     """Scores are -log10 of relative frequencies: one row per word or n-gram, one column per language."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    scores: np.ndarray
+    words: dict[str, int]
+    grams: list[dict[str, int]]
     penalty: float
+    key: str
     _memo: dict[str, int] = field(default_factory=dict)
     _rows: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
         if (row := self.words.get(word)) is not None:
-            return row
+            return self.scores[row]
         padded = f" {word} "
         for n in range(len(self.grams), 0, -1):
             get = self.grams[n - 1].get
             if found := [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]:
-                return np.mean(found, axis=0)
+                return self.scores[found].mean(axis=0)
         return np.full(len(self.languages), self.penalty, dtype=np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -113,24 +116,29 @@ def fit_language_model(docs: DataFrame, params: LanguageParams = LanguageParams(
     languages = sorted(got["lang"].unique())
     column = {x: i for i, x in enumerate(languages)}
     penalty = float(np.log10(got["total"].max()) + 1) if len(got) else 7.0
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(top + 1)]
+    tables: list[dict[str, int]] = [{} for _ in range(top + 1)]
+    scores = np.full((len(got), len(languages)), penalty, dtype=np.float32)
+    rows = 0
     for lang, n, gram, score in zip(got["lang"], got["n"], got["gram"], np.log10(got["total"] / got["k"]), strict=True):
         if (row := tables[n].get(gram)) is None:
-            row = tables[n][gram] = np.full(len(languages), penalty, dtype=np.float32)
-        row[column[lang]] = score
-    return LanguageModel(languages, tables[0], tables[1:], penalty)
+            row = tables[n][gram] = rows
+            rows += 1
+        scores[row, column[lang]] = score
+    return LanguageModel(languages, scores[:rows].copy(), tables[0], tables[1:], penalty, uuid.uuid4().hex)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Adds lang_pred and score to every row.  Only the text counts.  Null texts and texts without a
     letter give `und` and 0.  No shuffle; columns of these names are replaced."""
     small_batches(docs.sparkSession)
+    key = model.key
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = held_by_worker(("language", key), lambda: shared.value)
         for batch in texts:
-            yield pd.DataFrame([shared.value.predict(x) for x in batch], columns=["lang_pred", "score"])
+            yield pd.DataFrame([model.predict(x) for x in batch], columns=["lang_pred", "score"])
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, predicted(F.col(text)).alias("_p")).select(*kept, "_p.lang_pred", "_p.score")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import held_by_worker, small_batches, table, written
 from .graphs import components
 
 
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     size, rows, bands = params.bands * params.rows, params.rows, params.bands
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, sampler = shared.value, Sampler(size)
+        weights, sampler = held_by_worker("weights", lambda: None) or shared.value, Sampler(size)
         for batch in batches:
             prints, samples = [], []
             for text in batch["text"]:

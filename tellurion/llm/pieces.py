@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import held_by_worker, small_batches
 
 BLANK = "▁"
 #: Units remembered by a Python worker, and the longest one remembered.
@@ -40,6 +40,7 @@ class PieceTables:
         if train.model_type != 2 or not train.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or train.treat_whitespace_as_suffix or any(p.type in (4, 5) for p in spec.pieces):
             raise ValueError("only BPE models with byte fallback, no normalisation and a blank in front are supported")
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.digest = hashlib.sha256(model).hexdigest()
         self.eos = sp.eos_id()
         n = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
@@ -237,15 +238,8 @@ class PieceCodec:
         return sum(p[1] for p in parts) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def _codec(tables) -> PieceCodec:
-    key = str(tables.id) if hasattr(tables, "id") else str(id(tables))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = PieceCodec(tables.value)
-    return _codecs[key]
+    return held_by_worker(("pieces", tables.value.digest), lambda: PieceCodec(tables.value))
 
 
 def load_tables(model_path: str) -> PieceTables:

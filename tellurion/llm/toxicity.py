@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_by_class, small_batches, table, written
+from .common import bounded_by_class, held_by_worker, small_batches, table, written
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -194,12 +194,14 @@ def score_severity(docs: DataFrame, model: OrdinalModel, text: str = "text") ->
     and toxic.  Null and empty texts have no features and get what the thresholds alone give.  No shuffle;
     columns of these names are replaced."""
     small_batches(docs.sparkSession)
+    key = tuple(model.thresholds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("severity double, p_toxic double, grade int, toxic boolean")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = held_by_worker(("toxicity", key), lambda: shared.value)
         for batch in texts:
-            p = [shared.value.score(x) for x in batch]
+            p = [model.score(x) for x in batch]
             yield pd.DataFrame([(sum(x), x[0], sum(y > 0.5 for y in x), x[0] > 0.5) for x in p], columns=["severity", "p_toxic", "grade", "toxic"])
 
     new = ("severity", "p_toxic", "grade", "toxic")
