@@ -132,7 +132,7 @@ def pcc_surface(blocks: DataFrame, size: int) -> DataFrame:
     @F.pandas_udf("array<double>")
     def surface(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (np.stack(s.to_list()).reshape(-1, size, size) if len(s) else np.zeros((0, size, size)) for s in (a, b))
-        x, y = (np.fft.fft2(z - z.mean(axis=(1, 2), keepdims=True)) for z in (x, y))
+        x, y = np.fft.fft2(x), np.fft.fft2(y)
         cross = x * np.conj(y)
         c = np.fft.fftshift(np.real(np.fft.ifft2(cross / (np.abs(cross) + 1e-10))), axes=(1, 2))
         return pd.Series(list(c.reshape(len(c), -1)))

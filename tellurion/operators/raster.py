@@ -144,6 +144,32 @@ def majority(mask: DataFrame, least: int = 5) -> DataFrame:
     return neighbours(mask).select("gy", "gx", (F.col("ons") >= least).alias("on"))
 
 
+def without_holes(mask: DataFrame) -> DataFrame:
+    """The mask with every hole on: cells that are off and not linked, side by side, to the border.  A mask
+    is one grid of bounded size, which one task holds."""
+    import numpy as np
+    import pandas as pd
+
+    def flooded(pdf: pd.DataFrame) -> pd.DataFrame:
+        gy, gx = pdf["gy"].to_numpy() - pdf["gy"].min(), pdf["gx"].to_numpy() - pdf["gx"].min()
+        off = np.zeros((gy.max() + 3, gx.max() + 3), dtype=bool)
+        off[gy + 1, gx + 1] = ~pdf["on"].fillna(False).to_numpy(dtype=bool)
+        off[0], off[-1], off[:, 0], off[:, -1] = True, True, True, True
+        seen, fresh = np.zeros_like(off), np.zeros_like(off)
+        fresh[0, 0] = True
+        while fresh.any():
+            seen |= fresh
+            near = np.zeros_like(fresh)
+            near[1:] |= fresh[:-1]
+            near[:-1] |= fresh[1:]
+            near[:, 1:] |= fresh[:, :-1]
+            near[:, :-1] |= fresh[:, 1:]
+            fresh = near & off & ~seen
+        return pdf[["gy", "gx"]].assign(on=~seen[gy + 1, gx + 1])
+
+    return mask.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(flooded, "gy int, gx int, on boolean")
+
+
 def cropped(raster: DataFrame, mask: DataFrame, value: str) -> DataFrame:
     """The raster's value where the mask is on, else null."""
     return raster.join(mask, ["gy", "gx"], "left").withColumn(value, F.when(F.col("on"), F.col(value))).drop("on")

@@ -318,6 +318,11 @@ def mask_majority(spark, d):
     return raster.majority(_mask(spark, d))
 
 
+@query(None)
+def mask_fill(spark, d):
+    return raster.without_holes(_mask(spark, d))
+
+
 @query(", o AS (SELECT a.range::INT y, b.range::INT x, least(floor((a.range+0.5)*40/80),39)::INT gy, least(floor((b.range+0.5)*50/100),49)::INT gx FROM range(80) a, range(100) b) SELECT o.y, o.x, slope FROM o JOIN terrain t ON t.y=gy AND t.x=gx", "terrain")
 def mask_nearest_upsample(spark, d):
     return raster.upsampled(T.terrain(spark, d).select(F.col("y").alias("gy"), F.col("x").alias("gx"), "slope"), "slope", SHAPE, (80, 100))

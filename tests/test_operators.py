@@ -122,3 +122,24 @@ def test_cubic_rmse(spark):
     rows = [(1, D(2020, 1, 1 + i), float(i**3)) for i in range(8)] + [(2, D(2020, 1, 1), 1.0)] + [(3, D(2020, 1, 1 + i), 1.0 * i) for i in range(3)]
     got = {r.point: r.rmse for r in velocity.cubic_rmse(spark.createDataFrame(rows, "point long, date date, velocity double")).collect()}
     assert got[1] < 1e-6 and got[2] is None and got[3] == 0.0
+
+
+def test_holes(spark):
+    cells = [(y, x, (y in (1, 3) and 1 <= x <= 3) or (x in (1, 3) and 1 <= y <= 3)) for y in range(5) for x in range(5)]
+    got = raster.without_holes(spark.createDataFrame(cells, "gy int, gx int, on boolean")).where("on").collect()
+    assert {(r.gy, r.gx) for r in got} == {(y, x) for y in (1, 2, 3) for x in (1, 2, 3)}
+
+
+def test_files(spark, tmp_path):
+    from tellurion.sources import files
+
+    s = spark.createDataFrame([(0, "A", "2020-01-02", 1.5, 3, "T"), (1, "B", "2020-01-03", 2.5, 4, "U")], "idx int, Image_ID string, Date string, Cloud_Cover double, Orbit_Number int, Tile_ID string")
+    files.write_metadata(s, f"{tmp_path}/m", [1])
+    assert [(r.Image_ID, r.date) for r in files.read_metadata(spark, f"{tmp_path}/m").collect()] == [("B", D(2020, 1, 3))]
+    w = spark.createDataFrame([("p", 1.0, None)], "pid string, D20200131 double, D20200229 double")
+    files.write_wide(w, f"{tmp_path}/w")
+    assert [(r.date, r.velocity) for r in failure.melted(files.read_wide(spark, f"{tmp_path}/w")).orderBy("date").collect()] == [(D(2020, 1, 31), 1.0), (D(2020, 2, 29), None)]
+    calls = []
+    for _ in range(2):
+        got = files.predictions(spark, str(tmp_path), "block", "ncc", lambda: calls.append(1) or w)
+    assert got.count() == 1 and calls == [1]
