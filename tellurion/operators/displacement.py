@@ -46,30 +46,30 @@ def by_deviation(d: DataFrame, k: float = 3.0) -> DataFrame:
     return still(d, near[0] & near[1])
 
 
-def smoothed(values: Column, i: Column, n: Column, sigma: float) -> Column:
-    """Sum of the Gaussian weights and the frame's values around row i of n, mirrored at the edges; nulls
-    weigh nothing.  The frame begins at row max(0, i - radius)."""
-    weights = gaussian_weights(sigma)
-    radius = len(weights) // 2
+def around(values: Column, i: Column, n: Column, radius: int) -> Column:
+    """The frame's values from i - radius to i + radius of n rows, mirrored at the edges.  The frame
+    begins at row max(0, i - radius)."""
     first = F.greatest(i - radius, F.lit(0))
-    total = F.lit(0.0)
-    for k, w in enumerate(weights):
-        total = total + w * F.coalesce(F.get(values, (reflected(i + (k - radius), n) - first).cast("int"))["v"], F.lit(0.0))
-    return total
+    return F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda k: F.get(values, (reflected(i + k, n) - first).cast("int"))["v"])
+
+
+def weighted(aligned: Column, name: str, sigma: float) -> Column:
+    """The Gaussian mean of a field of the aligned values; nulls weigh nothing."""
+    weights = F.array(*map(F.lit, gaussian_weights(sigma)))
+    return F.aggregate(F.zip_with(aligned, weights, lambda x, w: w * F.coalesce(x[name], F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
 
 def by_angle(d: DataFrame, threshold: float = 30.0, sigma: float = 1.0) -> DataFrame:
     """Direction within `threshold` degrees of that smoothed along the points' order."""
     r = len(gaussian_weights(sigma)) // 2
     length = F.hypot("u", "v")
-    unit = {"_c": F.coalesce(F.try_divide(F.col("u"), length), F.lit(0.0)), "_s": F.coalesce(F.try_divide(F.col("v"), length), F.lit(0.0))}
-    d = d.withColumns({k: F.when(F.col("valid"), x) for k, x in unit.items()}).withColumn("_n", F.count("*").over(pair()))
-    d = d.withColumns({f"_f{k}": frame(F.col(k), ["pair_id"], "pt_idx", r, r) for k in ("_c", "_s")} | {"_fm": frame(F.col("valid").cast("double"), ["pair_id"], "pt_idx", r, r)})
-    i, n = F.col("pt_idx"), F.col("_n")
-    norm = F.greatest(smoothed(F.col("_fm"), i, n, sigma), F.lit(1e-6))
-    mean = F.atan2(smoothed(F.col("_f_s"), i, n, sigma) / norm, smoothed(F.col("_f_c"), i, n, sigma) / norm)
-    off = F.atan2("v", "u") - mean
-    return still(d, F.degrees(F.abs(F.atan2(F.sin(off), F.cos(off)))) <= threshold).drop("_c", "_s", "_n", "_f_c", "_f_s", "_fm")
+    unit = [F.when(F.col("valid"), F.coalesce(F.try_divide(F.col(c), length), F.lit(0.0))).alias(n) for c, n in (("u", "c"), ("v", "s"))]
+    d = d.withColumn("_v", F.struct(*unit, F.col("valid").cast("double").alias("m"))).withColumn("_n", F.count("*").over(pair()))
+    d = d.withColumn("_f", frame(F.col("_v"), ["pair_id"], "pt_idx", r, r))
+    d = d.withColumn("_a", around(F.col("_f"), F.col("pt_idx"), F.col("_n"), r))
+    norm = F.greatest(weighted(F.col("_a"), "m", sigma), F.lit(1e-6))
+    d = d.withColumn("_off", F.atan2("v", "u") - F.atan2(weighted(F.col("_a"), "s", sigma) / norm, weighted(F.col("_a"), "c", sigma) / norm))
+    return still(d, F.degrees(F.abs(F.atan2(F.sin("_off"), F.cos("_off")))) <= threshold).drop("_v", "_n", "_f", "_a", "_off")
 
 
 def without_median(d: DataFrame) -> DataFrame:

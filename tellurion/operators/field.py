@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import frame, gaussian_weights, turned
-from .displacement import smoothed
+from .displacement import around, weighted
 
 
 def above(field: DataFrame, threshold: float | None = None, share: float = 0.95) -> DataFrame:
@@ -23,9 +23,10 @@ def coherent(field: DataFrame, threshold: float = 30.0, sigma: float = 1.0) -> D
     r = len(gaussian_weights(sigma)) // 2
     w = Window.orderBy("ord")
     f = field.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    f = f.withColumns({"_fc": frame(F.cos("ang"), [], "_i", r, r), "_fs": frame(F.sin("ang"), [], "_i", r, r)})
-    off = F.col("ang") - F.atan2(smoothed(F.col("_fs"), F.col("_i"), F.col("_n"), sigma), smoothed(F.col("_fc"), F.col("_i"), F.col("_n"), sigma))
-    return f.where(F.degrees(F.abs(F.atan2(F.sin(off), F.cos(off)))) <= threshold).drop("_i", "_n", "_fc", "_fs")
+    f = f.withColumn("_f", frame(F.struct(F.cos("ang").alias("c"), F.sin("ang").alias("s")), [], "_i", r, r))
+    f = f.withColumn("_a", around(F.col("_f"), F.col("_i"), F.col("_n"), r))
+    f = f.withColumn("_off", F.col("ang") - F.atan2(weighted(F.col("_a"), "s", sigma), weighted(F.col("_a"), "c", sigma)))
+    return f.where(F.degrees(F.abs(F.atan2(F.sin("_off"), F.cos("_off")))) <= threshold).drop("_i", "_n", "_f", "_a", "_off")
 
 
 def at_pixels(field: DataFrame, terrain: DataFrame, *columns: str) -> DataFrame:
