@@ -24,7 +24,7 @@ from .common import held_by_worker, small_batches
 
 BLANK = "▁"
 #: Units remembered by a Python worker, and the longest one remembered.
-MEMO_UNITS, MEMO_CHARS = 120_000, 48
+MEMO_UNITS, MEMO_CHARS = 180_000, 48
 
 
 class PieceTables:
@@ -132,7 +132,7 @@ class PieceCodec:
             else:
                 ok = True
                 break
-        if len(self.pairs) >= 300_000:
+        if len(self.pairs) >= 1_000_000:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
