@@ -5,11 +5,12 @@
    that two documents agree in a sample with a probability that is their weighted Jaccard similarity.
    Documents with one fingerprint are one class from here on, stood for by their smallest doc_id.
 3. The samples make bands; documents that share a band are candidates.  Within a band's group each document
-   is paired with the one in front of it, in an order in which similar documents lie close, and with the
-   group's first; never all with all.
+   is paired with the two in front of it, in the order of eight further samples, in which similar documents
+   lie close, and with the group's first; never all with all.
 4. Candidates are verified by the exact weighted Jaccard similarity of the whole texts, best first.  Linked
-   documents join classes; then only pairs of different classes are left, and the groups are paired anew
-   by the classes they hold.
+   documents join classes.  Groups that still hold several classes are ordered by other samples, and each
+   document is paired with the closest in front of it and behind it that are of another class, until
+   further orders find no link.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ class NearDupParams:
     rows: int = 4
     #: log2 of the slots of the table of document frequencies.
     slots: int = 20
-    #: Times that groups are paired: first by their members, then by the classes that they hold.
-    turns: int = 3
+    #: Groups are paired anew, each time in the order of other samples, until so many times in a row have
+    #: found no link.
+    quiet_turns: int = 2
     #: A pair whose samples agree in fewer than this share isn't verified: more than three standard
     #: deviations below 0.8.
     least_agree: float = 0.6
@@ -235,9 +237,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     part = lambda k, n: F.xxhash64(F.substring("samples", 1 + 4 * rows * (k % bands), 4 * n))
     banded = one.select("rep", F.posexplode(F.array(*[part(k, rows) for k in range(bands)])).alias("band", "h"))
     groups = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1").select("band", "h")
-    # In a group, similar documents lie close in the order of the next band's samples.
-    near = F.element_at(F.array(*[part(k + 1, 2) for k in range(bands)]), F.col("band") + 1)
-    members = written(banded.join(groups, ["band", "h"]).join(one, "rep").select("band", "h", near.alias("near"), F.struct("rep", "samples").alias("s")), "members")
+    members = written(banded.join(groups, ["band", "h"]).join(one, "rep").select("band", "h", F.struct("rep", "samples").alias("s")), "members")
     needed = members.select(F.col("s.rep").alias("doc_id")).distinct()
     texts = written(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
@@ -269,36 +269,59 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
             pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
         return written(pairs.mapInPandas(verified, "a long, b long"), "linked")
 
+    def ordered(held: DataFrame, turn: int) -> DataFrame:
+        """Adds `near`, eight samples from the band `turn + 1` behind the group's own: in its order documents
+        lie close that agree in many of them.  Groups are dealt to salted parts by the first two."""
+        at = 1 + 4 * rows * F.pmod(F.col("band") + 1 + turn, F.lit(bands))
+        twice = F.concat("s.samples", "s.samples")
+        held = held.withColumn("near", twice.substr(at, F.lit(32)))
+        return held.withColumn("salt", F.pmod(F.xxhash64(F.substring("near", 1, 8)), F.lit(16)))
+
     def neighbours(held: DataFrame, *keys: str) -> DataFrame:
         """Each row with the two in front of it and the first of its group."""
         w = Window.partitionBy(*keys).orderBy("near", "s.rep")
         three = held.select("s", F.array(F.lag("s", 1).over(w), F.lag("s", 2).over(w), F.first("s").over(w)).alias("o"))
         return three.select("s", F.explode("o").alias("o")).where("o.rep <> s.rep")
 
-    classes = written(components(found), "classes")
-    done = None
-    for turn in range(params.turns):
-        held = members
-        if turn:  # of each group one member for each class that it holds, in an order of this turn
-            held = held.join(classes.select(F.col("id").alias("_id"), "class"), F.col("s.rep") == F.col("_id"), "left").withColumn("near", F.xxhash64("s.rep", "band", F.lit(turn)))
-            held = held.groupBy("band", "h", F.coalesce("class", "s.rep").alias("class")).agg(F.min(F.struct("near", "s")).alias("m")).select("band", "h", "m.*")
-        # Groups are dealt to salted parts; the first ones of the parts make a group of their own.
-        held = held.withColumn("salt", F.pmod(F.xxhash64("near", F.lit(turn)), F.lit(16)))
-        heads = held.groupBy("band", "h", "salt").agg(F.min(F.struct("near", "s")).alias("m")).select("band", "h", "m.*")
-        pairs = neighbours(held, "band", "h", "salt").unionByName(neighbours(heads, "band", "h"))
+    def strangers(held: DataFrame, *keys: str) -> DataFrame:
+        """Each row with the closest of another class in front of it and behind it."""
+        both = []
+        for w in (Window.partitionBy(*keys).orderBy("near", "s.rep"), Window.partitionBy(*keys).orderBy(F.desc("near"), F.desc("s.rep"))):
+            other = F.when(F.lag("class").over(w) != F.col("class"), F.lag("s").over(w))
+            both.append(held.withColumn("_o", other).select("s", F.last("_o", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("o")))
+        return both[0].unionByName(both[1]).where("o is not null")
+
+    def candidates(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+        """Pairs whose samples agree well enough, once each, without those of `done`."""
         pairs = pairs.withColumn("agree", agreement("s.samples", "o.samples")).where(F.col("agree") >= params.least_agree)
         pairs = pairs.select(F.least("s.rep", "o.rep").alias("a"), F.greatest("s.rep", "o.rep").alias("b"), "agree").distinct()
-        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        before = found.count()
-        if turn == 0:  # first the best pair of every document; then what is left between classes
-            best = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("m"))
-            found = found.unionByName(link(best.select("m.a", "m.b").distinct()))
+        return written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+
+    classes = written(components(found), "classes")
+    held = ordered(members, 0)
+    # The first ones of a group's salted parts make a group of their own.
+    heads = held.groupBy("band", "h", "salt").agg(F.min(F.struct("near", "s")).alias("m")).select("band", "h", "m.*")
+    pairs = candidates(neighbours(held, "band", "h", "salt").unionByName(neighbours(heads, "band", "h")), None)
+    # First the best pair of every document; then what is left between classes.
+    best = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("m"))
+    found = found.unionByName(link(best.select("m.a", "m.b").distinct()))
+    classes = written(components(found), "classes")
+    found = found.unionByName(link(apart(pairs.select("a", "b"), classes)))
+    classes = written(components(found), "classes")
+    done, turn, quiet = pairs.select("a", "b"), 0, 0
+    while quiet < params.quiet_turns:
+        turn += 1
+        held = members.select("band", "h", "s").join(classes.select(F.col("id").alias("_id"), "class"), F.col("s.rep") == F.col("_id"), "left").withColumn("class", F.coalesce("class", "s.rep")).drop("_id")
+        mixed = held.groupBy("band", "h").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("band", "h")
+        members = written(held.join(mixed, ["band", "h"]), "members")  # groups don't become mixed again
+        pairs = candidates(strangers(ordered(members, turn), "band", "h", "salt"), done)
+        done = done.unionByName(pairs.select("a", "b"))
+        links = link(apart(pairs.select("a", "b"), classes))
+        if links.take(1):
+            quiet, found = 0, found.unionByName(links)
             classes = written(components(found), "classes")
-        found = found.unionByName(link(apart(pairs.select("a", "b"), classes)))
-        if found.count() == before:
-            break
-        classes = written(components(found), "classes")
+        else:
+            quiet += 1
     out = signs.join(reps.select("print", "rep"), "print", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     return out.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class"))
 
