@@ -36,9 +36,8 @@ class NearDupParams:
     rows: int = 4
     #: log2 of the slots of the table of document frequencies.
     slots: int = 20
-    #: Groups are paired anew, each time in the order of other samples, until so many times in a row have
-    #: found no link.
-    quiet_turns: int = 2
+    #: Groups that hold several classes are paired anew in so many orders at once, until a turn finds no link.
+    orders: int = 4
     #: A pair whose samples agree in fewer than this share isn't verified: more than three standard
     #: deviations below 0.8.
     least_agree: float = 0.6
@@ -269,12 +268,13 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
             pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
         return written(pairs.mapInPandas(verified, "a long, b long"), "linked")
 
-    def ordered(held: DataFrame, turn: int) -> DataFrame:
-        """Adds `near`, eight samples from the band `turn + 1` behind the group's own: in its order documents
-        lie close that agree in many of them.  Groups are dealt to salted parts by the first two."""
-        at = 1 + 4 * rows * F.pmod(F.col("band") + 1 + turn, F.lit(bands))
-        twice = F.concat("s.samples", "s.samples")
-        held = held.withColumn("near", twice.substr(at, F.lit(32)))
+    def ordered(held: DataFrame, *orders: int) -> DataFrame:
+        """Each row once for each of `orders`, with `near`, eight samples from the band `order + 1` behind the
+        group's own: in its order documents lie close that agree in many of them.  Groups are dealt to
+        salted parts by the first two."""
+        held = held.withColumn("order", F.explode(F.array(*[F.lit(k) for k in orders])))
+        at = 1 + 4 * rows * F.pmod(F.col("band") + 1 + F.col("order"), F.lit(bands))
+        held = held.withColumn("near", F.concat("s.samples", "s.samples").substr(at, F.lit(32)))
         return held.withColumn("salt", F.pmod(F.xxhash64(F.substring("near", 1, 8)), F.lit(16)))
 
     def neighbours(held: DataFrame, *keys: str) -> DataFrame:
@@ -297,6 +297,17 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         pairs = pairs.select(F.least("s.rep", "o.rep").alias("a"), F.greatest("s.rep", "o.rep").alias("b"), "agree").distinct()
         return written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
 
+    def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+        """The classes with further links between them: components of classes, not of all documents."""
+        ends = links
+        for end in ("a", "b"):
+            ends = ends.join(classes.select(F.col("id").alias(end), F.col("class").alias(f"c{end}")), end, "left")
+        of_class = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        of_class = written(of_class.select(F.col("id").alias("class"), F.col("class").alias("_least")), "of-class")
+        moved = classes.join(of_class, "class", "left").select("id", F.coalesce("_least", "class").alias("class"))
+        alone = of_class.join(classes.select(F.col("id").alias("class")), "class", "left_anti")
+        return moved.unionByName(alone.select(F.col("class").alias("id"), F.col("_least").alias("class")))
+
     classes = written(components(found), "classes")
     held = ordered(members, 0)
     # The first ones of a group's salted parts make a group of their own.
@@ -308,20 +319,18 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     classes = written(components(found), "classes")
     found = found.unionByName(link(apart(pairs.select("a", "b"), classes)))
     classes = written(components(found), "classes")
-    done, turn, quiet = pairs.select("a", "b"), 0, 0
-    while quiet < params.quiet_turns:
-        turn += 1
+    done, turn = pairs.select("a", "b"), 0
+    while True:
         held = members.select("band", "h", "s").join(classes.select(F.col("id").alias("_id"), "class"), F.col("s.rep") == F.col("_id"), "left").withColumn("class", F.coalesce("class", "s.rep")).drop("_id")
         mixed = held.groupBy("band", "h").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("band", "h")
         members = written(held.join(mixed, ["band", "h"]), "members")  # groups don't become mixed again
-        pairs = candidates(strangers(ordered(members, turn), "band", "h", "salt"), done)
-        done = done.unionByName(pairs.select("a", "b"))
-        links = link(apart(pairs.select("a", "b"), classes))
-        if links.take(1):
-            quiet, found = 0, found.unionByName(links)
-            classes = written(components(found), "classes")
-        else:
-            quiet += 1
+        orders = range(1 + turn * params.orders, 1 + (turn + 1) * params.orders)
+        pairs = candidates(strangers(ordered(members, *orders), "band", "h", "order", "salt"), done)
+        done, turn = done.unionByName(pairs.select("a", "b")), turn + 1
+        links = link(pairs.select("a", "b"))
+        if not links.take(1):
+            break
+        classes = written(joined(classes, links), "classes")
     out = signs.join(reps.select("print", "rep"), "print", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     return out.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class"))
 
