@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         group's own: in its order documents lie close that agree in many of them.  Groups are dealt to
         salted parts by the first two."""
         held = held.withColumn("order", F.explode(F.array(*[F.lit(k) for k in orders])))
-        at = 1 + 4 * rows * F.pmod(F.col("band") + 1 + F.col("order"), F.lit(bands))
+        at = 1 + 4 * rows * F.pmod(F.col("band") + 1 + F.col("order") % max(bands - 1, 1), F.lit(bands))  # never the own band
         held = held.withColumn("near", F.concat("s.samples", "s.samples").substr(at, F.lit(32)))
         return held.withColumn("salt", F.pmod(F.xxhash64(F.substring("near", 1, 8)), F.lit(16)))
 
