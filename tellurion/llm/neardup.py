@@ -9,8 +9,9 @@
    lie close, and with the group's first; never all with all.
 4. Candidates are verified by the exact weighted Jaccard similarity of the whole texts, best first.  Linked
    documents join classes.  Groups that still hold several classes are ordered by other samples, and each
-   document is paired with the closest in front of it and behind it that are of another class, until
-   further orders find no link.
+   document is paired with the closest in front of it and behind it that are of another class.
+5. In the groups that hold several classes even then, every two documents of different classes are compared:
+   groups are dealt to blocks of documents, and a task takes two blocks.
 """
 
 from __future__ import annotations
@@ -36,11 +37,13 @@ class NearDupParams:
     rows: int = 4
     #: log2 of the slots of the table of document frequencies.
     slots: int = 20
-    #: Groups that hold several classes are paired anew in so many orders at once, until a turn finds no link.
+    #: Groups that hold several classes are paired anew in so many orders, before all their classes are compared.
     orders: int = 4
-    #: A pair whose samples agree in fewer than this share isn't verified: more than three standard
-    #: deviations below 0.8.
+    #: A pair whose samples agree in fewer than this share isn't verified before all are compared: more than
+    #: three standard deviations below 0.8.
     least_agree: float = 0.6
+    #: Documents in a block, about.
+    block: int = 256
 
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -115,6 +118,75 @@ class Weights:
         return found, tf, (1 + np.log(tf)).astype(np.float32) * self.idf[(found & self.mask).astype(np.int64)]
 
 
+Weighted = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def similar(x: Weighted, y: Weighted, similarity: float) -> bool:
+    """Whether two texts' weighted Jaccard similarity is `similarity` at least."""
+    (fa, _, wa), (fb, _, wb) = x, y
+    _, ia, ib = np.intersect1d(fa, fb, assume_unique=True, return_indices=True)
+    lower = np.minimum(wa[ia], wb[ib]).sum(dtype=np.float64)
+    return bool(lower >= similarity * (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - lower) - 1e-9)
+
+
+def overlaps(texts: list[Weighted], left: np.ndarray, right: np.ndarray, columns: int = 2048) -> np.ndarray:
+    """The weight that each of `left` shares with each of `right` (places in `texts`), to float precision.
+
+    A shingle that is there k times counts as k, each with what it adds to the weight, so that the lesser of
+    two weights is a product."""
+    found, weight, at = [], [], []
+    with np.errstate(over="ignore"):
+        for i, (f, tf, w) in enumerate(texts):
+            k = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf) + 1
+            idf = np.repeat(w / (1 + np.log(tf)), tf)
+            found.append(_mix(np.repeat(f, tf) + (k - 1).astype(np.uint64) * _PRIME))
+            weight.append(idf * np.where(k > 1, np.log(k / np.maximum(k - 1, 1)), 1))
+            at.append(np.full(len(k), i))
+    _, column, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[column]
+    column, at = (np.cumsum(shared) - 1)[column[keep]], np.concatenate(at)[keep]
+    root = np.sqrt(np.concatenate(weight)[keep]).astype(np.float32)
+    order = np.argsort(column, kind="stable")
+    column, at, root = column[order], at[order], root[order]
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(column, [low, low + columns])
+        dense = np.zeros((len(texts), min(columns, int(shared.sum()) - low)), dtype=np.float32)
+        dense[at[a:b], column[a:b] - low] = root[a:b]
+        total += dense[left] @ dense[right].T
+    return total
+
+
+def links_of_blocks(ids: np.ndarray, classes: np.ndarray, side: np.ndarray, texts: list[Weighted], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all classes which any link joins between the documents of side 0 and those of side 1,
+    or among those of side 0 if there is no other side."""
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    if not len(left):
+        return []
+    total = np.array([w.sum(dtype=np.float64) for _, _, w in texts])
+    both = overlaps(texts, left, right)
+    score = both / (total[left][:, None] + total[right][None, :] - both)
+    near = (score >= similarity - 1e-3) & (classes[left][:, None] != classes[right][None, :])
+    i, j = np.nonzero(near)
+    found, least = [], {}
+
+    def root(c: int) -> int:
+        while (up := least.get(c, c)) != c:
+            least[c] = least.get(up, up)
+            c = up
+        return c
+
+    for k in np.argsort(-score[i, j], kind="stable"):
+        a, b = left[i[k]], right[j[k]]
+        p, q = root(classes[a]), root(classes[b])
+        if p != q and similar(texts[a], texts[b], similarity):
+            least[max(p, q)] = min(p, q)
+            found.append((int(ids[a]), int(ids[b])))
+    return found
+
+
 class Sampler:
     """ICWS with `size` samples.  The two gamma variates and the uniform one of a shingle in a sample come
     from its hash, by tables of quantiles."""
@@ -245,10 +317,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         for batch in batches:
             keep = []
             for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
-                (fa, _, wa), (fb, _, wb) = weights.of(x, params.words), weights.of(y, params.words)
-                _, ia, ib = np.intersect1d(fa, fb, assume_unique=True, return_indices=True)
-                lower = np.minimum(wa[ia], wb[ib]).sum(dtype=np.float64)
-                keep.append(lower >= params.similarity * (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - lower) - 1e-9)
+                keep.append(similar(weights.of(x, params.words), weights.of(y, params.words), params.similarity))
             yield batch.loc[keep, ["a", "b"]]
 
     @F.pandas_udf("double")
@@ -308,6 +377,58 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         alone = of_class.join(classes.select(F.col("id").alias("class")), "class", "left_anti")
         return moved.unionByName(alone.select(F.col("class").alias("id"), F.col("_least").alias("class")))
 
+    def mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+        """The members of groups that hold several classes, with their class."""
+        held = members.select("band", "h", "s").join(classes.select(F.col("id").alias("_id"), "class"), F.col("s.rep") == F.col("_id"), "left").withColumn("class", F.coalesce("class", "s.rep")).drop("_id")
+        several = held.groupBy("band", "h").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("band", "h")
+        return held.join(several, ["band", "h"])
+
+    def compared(members: DataFrame) -> DataFrame:
+        """Links that join all classes which any link joins between two documents of a group.
+
+        Groups are dealt to blocks.  A class that could fill a block has blocks of its own, which are not
+        compared with each other; the other classes of a group share blocks."""
+        members = members.select("band", "h", F.col("s.rep").alias("rep"), "class")
+        # Groups of the same documents are one.
+        same = members.groupBy("band", "h").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+        members = members.join(same.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "h")).alias("g")).select("g.*"), ["band", "h"])
+        sizes = members.groupBy("band", "h", "class").agg(F.count("*").alias("n"))
+        sizes = sizes.withColumn("owner", F.when(F.col("n") >= params.block, F.col("class").cast("string")).otherwise(""))
+        owners = sizes.groupBy("band", "h", "owner").agg(F.ceil(F.sum("n") / params.block).alias("blocks"))
+        dealt = members.join(sizes.drop("n").join(owners, ["band", "h", "owner"]), ["band", "h", "class"])
+        block = F.concat_ws(":", "owner", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("string"))
+        dealt = written(dealt.select("band", "h", "rep", "class", "owner", block.alias("block")), "blocks")
+        each = dealt.select("band", "h", "owner", "block").distinct()
+        other = each.select("band", "h", F.col("owner").alias("owner2"), F.col("block").alias("block2"))
+        two = each.join(other, ["band", "h"]).where("block <= block2 and (owner = '' or owner <> owner2)")
+        two = two.withColumn("job", F.xxhash64("band", "h", "block", "block2"))
+        ends = F.when(F.col("block") == F.col("block2"), F.array("block")).otherwise(F.array("block", "block2"))
+        sides = two.select("band", "h", "job", F.posexplode(ends).alias("side", "block"))
+        rows = dealt.join(sides, ["band", "h", "block"]).select("job", "side", "rep", "class")
+        rows = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        rows = rows.repartition("job").sortWithinPartitions("job")
+
+        def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            weights = shared.value
+
+            def of(job: pd.DataFrame) -> list[tuple[int, int]]:
+                if job["class"].nunique() < 2:
+                    return []
+                texts = [weights.of(x, params.words) for x in job["text"]]
+                return links_of_blocks(job["rep"].to_numpy(), job["class"].to_numpy(), job["side"].to_numpy(), texts, params.similarity)
+
+            kept = None
+            for batch in batches:
+                batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+                ends = np.flatnonzero(np.diff(batch["job"].to_numpy())) + 1
+                pairs = [p for a, b in zip([0, *ends[:-1]], ends) for p in of(batch.iloc[a:b])]
+                kept = batch.iloc[ends[-1] if len(ends) else 0 :]
+                yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+            if kept is not None:
+                yield pd.DataFrame(of(kept), columns=["a", "b"], dtype="int64")
+
+        return written(rows.mapInPandas(found, "a long, b long"), "compared")
+
     classes = written(components(found), "classes")
     held = ordered(members, 0)
     # The first ones of a group's salted parts make a group of their own.
@@ -319,18 +440,10 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     classes = written(components(found), "classes")
     found = found.unionByName(link(apart(pairs.select("a", "b"), classes)))
     classes = written(components(found), "classes")
-    done, turn = pairs.select("a", "b"), 0
-    while True:
-        held = members.select("band", "h", "s").join(classes.select(F.col("id").alias("_id"), "class"), F.col("s.rep") == F.col("_id"), "left").withColumn("class", F.coalesce("class", "s.rep")).drop("_id")
-        mixed = held.groupBy("band", "h").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("band", "h")
-        members = written(held.join(mixed, ["band", "h"]), "members")  # groups don't become mixed again
-        orders = range(1 + turn * params.orders, 1 + (turn + 1) * params.orders)
-        pairs = candidates(strangers(ordered(members, *orders), "band", "h", "order", "salt"), done)
-        done, turn = done.unionByName(pairs.select("a", "b")), turn + 1
-        links = link(pairs.select("a", "b"))
-        if not links.take(1):
-            break
-        classes = written(joined(classes, links), "classes")
+    members = written(mixed(members, classes), "members")
+    pairs = candidates(strangers(ordered(members, *range(1, 1 + params.orders)), "band", "h", "order", "salt"), pairs.select("a", "b"))
+    classes = written(joined(classes, link(pairs.select("a", "b"))), "classes")
+    classes = written(joined(classes, compared(written(mixed(members, classes), "members"))), "classes")
     out = signs.join(reps.select("print", "rep"), "print", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     return out.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class"))
 

@@ -124,6 +124,49 @@ def test_near_duplicates(spark):
     assert got == brute_classes(texts, weights, params)
 
 
+def test_near_duplicates_whose_samples_agree_little(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = {}
+    for _ in range(3):
+        base = [word() for _ in range(120)]
+        for c in range(12):
+            w = list(base)
+            for _ in range(1 + c % 3):
+                w[rng.randrange(120)] = word()
+            texts[len(texts)] = " ".join(w)
+    params = neardup.NearDupParams(least_agree=1.0, block=4)  # no pair passes but those of equal samples
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    weights = neardup.Weights(*neardup.document_frequencies(d, params))
+    got = {r.doc_id: r["class"] for r in neardup.near_duplicates(d, params).collect()}
+    want = brute_classes(texts, weights, params)
+    assert len(set(want.values())) < len(texts)
+    assert got == want
+
+
+def test_blocks_join_what_brute_force_joins():
+    import numpy as np
+
+    rng = random.Random(13)
+    base = [str(rng.random()) for _ in range(90)]
+    texts = {}
+    for i in range(60):
+        w = list(base) * (1 + i % 2)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = str(i)
+        texts[i] = " ".join(w)
+    params = neardup.NearDupParams()
+    weights = neardup.Weights(np.zeros(1 << 10), 60)
+    held, ids = [weights.of(t, params.words) for t in texts.values()], np.arange(60)
+    links = neardup.links_of_blocks(ids, ids, np.zeros(60), held, params.similarity)
+    want = brute_classes(texts, weights, params)
+    assert 1 < len(set(want.values())) < 60 and len(links) == 60 - len(set(want.values()))
+    assert all(want[a] == want[b] for a, b in links)
+    side, halves = (ids >= 30).astype(int), (ids < 30).astype(int) * 100
+    for a, b in neardup.links_of_blocks(ids, halves, side, held, params.similarity):
+        assert a < 30 <= b and neardup.similar(held[a], held[b], params.similarity)
+
+
 def test_near_duplicates_edges(spark, edge):
     rows = neardup.near_duplicates(edge).collect()
     assert sorted((str(r.doc_id), str(r["class"])) for r in rows) == sorted((str(i), str(i)) for i, *_ in EDGE)
