@@ -39,10 +39,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times or not at all."""
-    copies = mixed_copies(docs, carry=["doc_id"]).where("doc_id is not null").groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
-    taken = docs.join(copies, "doc_id").where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Each row as often as the mix takes it, up to three times or not at all, whether its doc_id is null,
+    its own or that of other rows too."""
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    taken = mixed_copies(whole, carry=["_row"]).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,3 +294,17 @@ def test_page_weights(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     w = pages.fit_page_weights(d)
     assert w.word > 0 > w.other and w.tags["li"] < w.tags["p"] < 0
+
+
+def test_mixing_stage_takes_rows_without_an_id_and_of_one_id(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else i // 2 % 9, f"{i} " + "w " * (i % 5 + 1), "en", "ab"[i % 2], i) for i in range(60)]
+    d = spark.createDataFrame(rows, SHAPE)
+    want = {r.n_chars: r.copies for r in mixing.mixed_copies(d, carry=d.columns).collect()}
+    got = corpus_pipeline.mixing(spark, d, "").collect()
+    assert Counter(r.n_chars for r in got) == Counter(want)
+    assert {tuple(r) for r in got} <= set(rows) and any(r.doc_id is None for r in got)
+    assert max(Counter(r.n_chars for r in got).values()) <= 3
