@@ -35,6 +35,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner", ways: int = 8) -> DataFrame:
+    """`many` joined with `few`, which has a row for each key.  The rows of a key are dealt to `ways` tasks by
+    a hash of their column `by`, so that a key which holds a large share of all rows isn't one task."""
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(5)), F.lit(ways)).cast("int"))
+    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the rows of a batch that goes to Python, which Spark counts without regard to their size:
     whole texts can be long."""
@@ -55,6 +63,11 @@ def held_by_worker(key: object, build: Callable[[], object]) -> object:
     return _held[key]
 
 
+def drop_held() -> None:
+    """Makes room in this Python worker for a table that isn't held here, such as a broadcast one."""
+    _held.clear()
+
+
 def unit_hash(*cols: Column) -> Column:
     """A number from 0 to 1 that depends on the given columns alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))

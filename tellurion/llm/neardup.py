@@ -1,17 +1,14 @@
 """Near duplicates by improved consistent weighted sampling (ICWS) over TF-IDF word shingles.
 
 1. Document frequencies of all shingles, in a table of a fixed size that shingles are hashed to.
-2. Of each document: a fingerprint of its shingles with their counts, and SIZE samples drawn by ICWS, so
-   that two documents agree in a sample with a probability that is their weighted Jaccard similarity.
-   Documents with one fingerprint are one class from here on, stood for by their smallest doc_id.
-3. The samples make bands; documents that share a band are candidates.  Within a band's group each document
-   is paired with the two in front of it, in the order of eight further samples, in which similar documents
-   lie close, and with the group's first; never all with all.
-4. Candidates are verified by the exact weighted Jaccard similarity of the whole texts, best first.  Linked
-   documents join classes.  Groups that still hold several classes are ordered by other samples, and each
-   document is paired with the closest in front of it and behind it that are of another class.
-5. In the groups that hold several classes even then, every two documents of different classes are compared:
-   groups are dealt to blocks of documents, and a task takes two blocks.
+2. Of each document: a fingerprint of its shingles with their counts, and samples drawn by ICWS, so that two
+   documents agree in a sample with a probability that is their weighted Jaccard similarity.  Documents with
+   one fingerprint are one node from here on.
+3. The samples make bands; documents that share a band are candidates.  In a few turns each document is
+   verified with its group's head, by the exact weighted Jaccard similarity of the whole texts; linked
+   documents join classes.
+4. In the groups that hold several classes after that, every two documents of different classes are compared,
+   in blocks: a group's strangers with one another and with the whole of its largest class.
 """
 
 from __future__ import annotations
@@ -22,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_by_worker, small_batches, table, written
+from .common import drop_held, salted_join, small_batches, table, written
 from .graphs import components
 
 
@@ -33,19 +31,18 @@ from .graphs import components
 class NearDupParams:
     words: int = 5
     similarity: float = 0.8
-    bands: int = 12
+    bands: int = 16
     rows: int = 4
-    #: log2 of the slots of the table of document frequencies.
+    #: log2 of the slots in a row of the table of document frequencies.
     slots: int = 20
-    #: Groups that hold several classes are paired anew in so many orders, before all their classes are compared.
-    orders: int = 4
-    #: A pair whose samples agree in fewer than this share isn't verified before all are compared: more than
-    #: three standard deviations below 0.8.
-    least_agree: float = 0.6
+    #: Turns in which documents are compared with one head each, before all that is left is compared.
+    turns: int = 2
     #: Documents in a block, about.
-    block: int = 256
+    block: int = 128
 
 
+#: Rows of the table of document frequencies: each hashes shingles anew.
+ROWS = 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = re.compile(r"[^0-9a-z\u0080-\U0010ffff]+")
 
@@ -101,21 +98,31 @@ def shingles(text: str | None, words: int) -> np.ndarray:
         return _mix(out + np.uint64(n))
 
 
+def slot(found: np.ndarray, row: int, slots: int) -> np.ndarray:
+    """Where shingles are counted in a row of the table of document frequencies."""
+    return ((found >> np.uint64(row * slots)) & np.uint64((1 << slots) - 1)).astype(np.int64)
+
+
 class Weights:
     """TF-IDF weights of hashed shingles: (1 + ln tf) * idf.  idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N)
-    lies between 1 and 2, so that a few rare words don't outweigh a text.  df is what a shingle's slot
-    counts, less the mean of the slots, which other shingles put there; N is the number of documents."""
+    lies between 1 and 2, so that a few rare words don't outweigh a text; N is the number of documents.
+
+    df is the least of what a shingle's slots count, each less the mean of its row, which other shingles put
+    there.  What lies within four standard deviations of that mean can't be told from chance: all shingles
+    that are so rare get the same df, so that chance adds no weight of its own however large the corpus."""
 
-    def __init__(self, slots: np.ndarray, documents: int):
+    def __init__(self, table: np.ndarray, documents: int):
         n = max(documents, 1)
-        df = np.clip(slots - (slots.mean() if len(slots) else 0.0), 1, n)
-        self.idf = (1 + np.log((1 + n) / (1 + df)) / np.log(1 + n)).astype(np.float32)
-        self.mask = np.uint64(len(slots) - 1)
+        mean = table.mean(axis=1, keepdims=True)
+        df = np.clip(table - mean, np.maximum(1, 4 * np.sqrt(mean)), None)
+        self.idf = (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(1 + n)).astype(np.float32)
+        self.slots = int(table.shape[1]).bit_length() - 1
 
     def of(self, text: str | None, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct shingles, their counts and weights."""
         found, tf = np.unique(shingles(text, words), return_counts=True)
-        return found, tf, (1 + np.log(tf)).astype(np.float32) * self.idf[(found & self.mask).astype(np.int64)]
+        idf = np.maximum.reduce([row[slot(found, k, self.slots)] for k, row in enumerate(self.idf)])
+        return found, tf, (1 + np.log(tf)).astype(np.float32) * idf
 
 
 Weighted = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -226,34 +233,40 @@ class Sampler:
 
 
 def document_frequencies(docs: DataFrame, params: NearDupParams) -> tuple[np.ndarray, int]:
-    """How many (document, distinct shingle) fall in each slot, over all documents, and the number of
-    documents with words.  Tasks send blocks of slots; sums are made in two steps, so that no task holds
-    more than a share of them.  The driver gets 2**slots numbers, whatever the input."""
+    """How many (document, distinct shingle) fall in each slot of each row of the table, over all documents,
+    and the number of documents with words.  Tasks send blocks of slots; sums are made in two steps, so that
+    no task holds more than a share of them.  The driver gets ROWS * 2**slots numbers, whatever the input."""
     size, block = 1 << params.slots, 1 << min(params.slots, 14)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(size, dtype=np.int64), 0
+        total, n = np.zeros(ROWS * size, dtype=np.int64), 0
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            every = np.concatenate(held)
+            for k in range(ROWS):
+                total[k * size : (k + 1) * size] += np.bincount(slot(every, k, params.slots), minlength=size)
+            held.clear()
+
         for batch in batches:
-            held = []
             for text in batch["text"]:
                 if len(found := np.unique(shingles(text, params.words))):
                     n += 1
-                    held.append((found & np.uint64(size - 1)).astype(np.int64))
+                    held.append(found)
                 if len(held) >= 512:
-                    total += np.bincount(np.concatenate(held), minlength=size)
-                    held.clear()
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=size)
+                    add()
+        if held:
+            add()
         if n:
-            parts = [total[k : k + block] for k in range(0, size, block)]
+            parts = [total[k : k + block] for k in range(0, ROWS * size, block)]
             salt = int(total[:64].sum() % 32)
-            yield pd.DataFrame({"block": range(len(parts)), "salt": salt, "n": [n] + [0] * (len(parts) - 1), "counts": [p.astype("<i4").tobytes() for p in parts]})
+            yield pd.DataFrame({"block": range(len(parts)), "salt": salt, "n": [n] + [0] * (len(parts) - 1), "counts": [p.astype("<i8").tobytes() for p in parts]})
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, dtype=np.int64)
         for x in rows["counts"]:
-            total += np.frombuffer(x, dtype="<i4")
-        return pd.DataFrame({"block": [rows["block"][0]], "salt": [0], "n": [rows["n"].sum()], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+            total += np.frombuffer(x, dtype="<i8")
+        return pd.DataFrame({"block": [rows["block"][0]], "salt": [0], "n": [rows["n"].sum()], "counts": [total.tobytes()]})
 
     shape = "block int, salt int, n long, counts binary"
     parts = docs.select("text").mapInPandas(counted, shape)
@@ -261,202 +274,216 @@ def document_frequencies(docs: DataFrame, params: NearDupParams) -> tuple[np.nda
         parts = parts.groupBy(*keys).applyInPandas(summed, shape)
     got = parts.toPandas().sort_values("block")
     if not len(got):
-        return np.zeros(size), 0
-    return np.concatenate([np.frombuffer(x, dtype="<i4") for x in got["counts"]]).astype(float), int(got["n"].sum())
+        return np.zeros((ROWS, size)), 0
+    return np.concatenate([np.frombuffer(x, dtype="<i8") for x in got["counts"]]).astype(float).reshape(ROWS, size), int(got["n"].sum())
 
 
-def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
-    """One row for each row of `docs`: doc_id and class, the smallest doc_id of its class.
-
-    Documents are of one class if links of a similarity of at least `params.similarity` lead from one
-    to the other.  Null texts and texts without words are classes of their own.  Rows with the same doc_id
-    are the same document; if their texts differ, links from any copy of any of them count, and the least
-    of them is compared with others.  Rows without a doc_id have a null class."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slots, documents = document_frequencies(docs, params)
-    shared = spark.sparkContext.broadcast(Weights(slots, documents))  # 2**slots numbers
-    size, rows, bands = params.bands * params.rows, params.rows, params.bands
+def signatures(docs: DataFrame, shared: Broadcast, params: NearDupParams) -> DataFrame:
+    """Of every row: doc_id, t (a hash of its text), node (16 bytes: the fingerprint of its shingles with
+    their counts) and samples; the last two are null without words."""
+    size = params.bands * params.rows
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, sampler = held_by_worker("weights", lambda: None) or shared.value, Sampler(size)
+        drop_held()
+        weights, sampler = shared.value, Sampler(size)
         for batch in batches:
-            prints, samples = [], []
+            nodes, samples = [], []
             for text in batch["text"]:
                 found, tf, w = weights.of(text, params.words)
                 if not len(found):
-                    prints.append(None)
+                    nodes.append(None)
                     samples.append(None)
                     continue
                 with np.errstate(over="ignore"):
                     both = _mix(found + tf.astype(np.uint64) * _PRIME)
-                    prints.append(both.sum().tobytes() + _mix(both + np.uint64(1)).sum().tobytes())
+                    nodes.append(both.sum().tobytes() + _mix(both + np.uint64(1)).sum().tobytes())
                 samples.append(sampler.samples(found, w).astype("<u4").tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "print": prints, "samples": samples})
-
-    signs = written(docs.mapInPandas(signed, "doc_id long, print binary, samples binary"), "signs")
-    # Copies: equal fingerprints.  The minimum is taken on the map side, so no group is gathered.
-    named = signs.where("print is not null and doc_id is not null")
-    reps = written(named.groupBy("print").agg(F.min(F.struct("doc_id", "samples")).alias("m")).select("print", F.col("m.doc_id").alias("rep"), "m.samples"), "reps")
-    # A doc_id with several texts has several fingerprints, whose documents are linked.
-    same_id = named.groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q").select("doc_id")
-    same_id = named.join(same_id, "doc_id").select("doc_id", "print").distinct().join(reps.select("print", "rep"), "print")
-    found = written(same_id.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "same")
-    one = reps.groupBy("rep").agg(F.min("samples").alias("samples"))
-
-    part = lambda k, n: F.xxhash64(F.substring("samples", 1 + 4 * rows * (k % bands), 4 * n))
-    banded = one.select("rep", F.posexplode(F.array(*[part(k, rows) for k in range(bands)])).alias("band", "h"))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "t": batch["t"], "node": nodes, "samples": samples})
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return rows.mapInPandas(signed, "doc_id long, t long, node binary, samples binary")
+
+
+def band_members(reps: DataFrame, params: NearDupParams) -> DataFrame:
+    """band, h, node: the members of every band's groups of two or more."""
+    part = lambda k: F.xxhash64(F.substring("samples", 1 + 4 * params.rows * k, 4 * params.rows))
+    banded = reps.select("node", F.posexplode(F.array(*[part(k) for k in range(params.bands)])).alias("band", "h"))
     groups = banded.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1").select("band", "h")
-    members = written(banded.join(groups, ["band", "h"]).join(one, "rep").select("band", "h", F.struct("rep", "samples").alias("s")), "members")
-    needed = members.select(F.col("s.rep").alias("doc_id")).distinct()
-    texts = written(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    return salted_join(banded, groups, ["band", "h"], "node", ways=4).select("band", "h", "node")
+
+
+def mixed_groups(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of groups that hold several classes: band, h, node, class."""
+    held = members.select("band", "h", "node").join(classes.withColumnRenamed("id", "node"), "node", "left")
+    held = held.withColumn("class", F.coalesce("class", "node"))
+    several = held.groupBy("band", "h").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("band", "h")
+    return salted_join(held, several, ["band", "h"], "node")
+
 
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
+def head_pairs(mixed: DataFrame, turn: int, params: NearDupParams) -> DataFrame:
+    """One pair for each document outside its group's head's class: a, b (the head) and salt.
+
+    A group's head is its first in an order that is the same for all groups and new in each turn.  Of a
+    document's heads that one is taken with which it shares the most bands.  salt deals a head's pairs to
+    keys of about `params.block` each."""
+    groups = mixed.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("b"), F.col("class").alias("of"))).alias("head"))
+    pairs = salted_join(mixed, groups, ["band", "h"], "node").where(F.col("class") != F.col("head.of")).select(F.col("node").alias("a"), F.col("head.b").alias("b"), "n")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("bands"), F.max("n").alias("n"))
+    best = pairs.groupBy("a").agg(F.max(F.struct("bands", "n", "b")).alias("m")).select("a", "m.b", F.ceil(F.col("m.n") / params.block).alias("ways"))
+    return best.select("a", "b", F.pmod(F.xxhash64("a", F.lit(9)), F.col("ways")).alias("salt"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, params: NearDupParams) -> DataFrame:
+    """The links among `pairs` (a, b, salt): a and b of those whose similarity is high enough.  A head's text
+    is there once for each of its salts, so a head that many pairs have isn't one key."""
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, last = shared.value, (None, None)
         for batch in batches:
             keep = []
             for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
-                keep.append(similar(weights.of(x, params.words), weights.of(y, params.words), params.similarity))
+                if y is not last[0] and y != last[0]:
+                    last = (y, weights.of(y, params.words))
+                keep.append(similar(weights.of(x, params.words), last[1], params.similarity))
             yield batch.loc[keep, ["a", "b"]]
 
-    @F.pandas_udf("double")
-    def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
-        a = np.frombuffer(b"".join(x), dtype="<u4").reshape(-1, size)
-        b = np.frombuffer(b"".join(y), dtype="<u4").reshape(-1, size)
-        return pd.Series((a == b).mean(axis=1))
-
-    def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different classes."""
-        for end in ("a", "b"):
-            pairs = pairs.join(classes.select(F.col("id").alias(end), F.col("class").alias(f"c{end}")), end, "left")
-        return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    def link(pairs: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
-        return written(pairs.mapInPandas(verified, "a long, b long"), "linked")
-
-    def ordered(held: DataFrame, *orders: int) -> DataFrame:
-        """Each row once for each of `orders`, with `near`, eight samples from the band `order + 1` behind the
-        group's own: in its order documents lie close that agree in many of them.  Groups are dealt to
-        salted parts by the first two."""
-        held = held.withColumn("order", F.explode(F.array(*[F.lit(k) for k in orders])))
-        at = 1 + 4 * rows * F.pmod(F.col("band") + 1 + F.col("order") % max(bands - 1, 1), F.lit(bands))  # never the own band
-        held = held.withColumn("near", F.concat("s.samples", "s.samples").substr(at, F.lit(32)))
-        return held.withColumn("salt", F.pmod(F.xxhash64(F.substring("near", 1, 8)), F.lit(16)))
-
-    def neighbours(held: DataFrame, *keys: str) -> DataFrame:
-        """Each row with the two in front of it and the first of its group."""
-        w = Window.partitionBy(*keys).orderBy("near", "s.rep")
-        three = held.select("s", F.array(F.lag("s", 1).over(w), F.lag("s", 2).over(w), F.first("s").over(w)).alias("o"))
-        return three.select("s", F.explode("o").alias("o")).where("o.rep <> s.rep")
-
-    def strangers(held: DataFrame, *keys: str) -> DataFrame:
-        """Each row with the closest of another class in front of it and behind it."""
-        both = []
-        for w in (Window.partitionBy(*keys).orderBy("near", "s.rep"), Window.partitionBy(*keys).orderBy(F.desc("near"), F.desc("s.rep"))):
-            other = F.when(F.lag("class").over(w) != F.col("class"), F.lag("s").over(w))
-            both.append(held.withColumn("_o", other).select("s", F.last("_o", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("o")))
-        return both[0].unionByName(both[1]).where("o is not null")
-
-    def candidates(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
-        """Pairs whose samples agree well enough, once each, without those of `done`."""
-        pairs = pairs.withColumn("agree", agreement("s.samples", "o.samples")).where(F.col("agree") >= params.least_agree)
-        pairs = pairs.select(F.least("s.rep", "o.rep").alias("a"), F.greatest("s.rep", "o.rep").alias("b"), "agree").distinct()
-        return written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-
-    def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
-        """The classes with further links between them: components of classes, not of all documents."""
-        ends = links
-        for end in ("a", "b"):
-            ends = ends.join(classes.select(F.col("id").alias(end), F.col("class").alias(f"c{end}")), end, "left")
-        of_class = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        of_class = written(of_class.select(F.col("id").alias("class"), F.col("class").alias("_least")), "of-class")
-        moved = classes.join(of_class, "class", "left").select("id", F.coalesce("_least", "class").alias("class"))
-        alone = of_class.join(classes.select(F.col("id").alias("class")), "class", "left_anti")
-        return moved.unionByName(alone.select(F.col("class").alias("id"), F.col("_least").alias("class")))
-
-    def mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
-        """The members of groups that hold several classes, with their class."""
-        held = members.select("band", "h", "s").join(classes.select(F.col("id").alias("_id"), "class"), F.col("s.rep") == F.col("_id"), "left").withColumn("class", F.coalesce("class", "s.rep")).drop("_id")
-        several = held.groupBy("band", "h").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("band", "h")
-        return held.join(several, ["band", "h"])
-
-    def compared(members: DataFrame) -> DataFrame:
-        """Links that join all classes which any link joins between two documents of a group.
-
-        Groups are dealt to blocks.  A class that could fill a block has blocks of its own, which are not
-        compared with each other; the other classes of a group share blocks."""
-        members = members.select("band", "h", F.col("s.rep").alias("rep"), "class")
-        # Groups of the same documents are one.
-        same = members.groupBy("band", "h").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
-        members = members.join(same.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "h")).alias("g")).select("g.*"), ["band", "h"])
-        sizes = members.groupBy("band", "h", "class").agg(F.count("*").alias("n"))
-        sizes = sizes.withColumn("owner", F.when(F.col("n") >= params.block, F.col("class").cast("string")).otherwise(""))
-        owners = sizes.groupBy("band", "h", "owner").agg(F.ceil(F.sum("n") / params.block).alias("blocks"))
-        dealt = members.join(sizes.drop("n").join(owners, ["band", "h", "owner"]), ["band", "h", "class"])
-        block = F.concat_ws(":", "owner", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("string"))
-        dealt = written(dealt.select("band", "h", "rep", "class", "owner", block.alias("block")), "blocks")
-        each = dealt.select("band", "h", "owner", "block").distinct()
-        other = each.select("band", "h", F.col("owner").alias("owner2"), F.col("block").alias("block2"))
-        two = each.join(other, ["band", "h"]).where("block <= block2 and (owner = '' or owner <> owner2)")
-        two = two.withColumn("job", F.xxhash64("band", "h", "block", "block2"))
-        ends = F.when(F.col("block") == F.col("block2"), F.array("block")).otherwise(F.array("block", "block2"))
-        sides = two.select("band", "h", "job", F.posexplode(ends).alias("side", "block"))
-        rows = dealt.join(sides, ["band", "h", "block"]).select("job", "side", "rep", "class")
-        rows = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-        rows = rows.repartition("job").sortWithinPartitions("job")
-
-        def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            weights = shared.value
-
-            def of(job: pd.DataFrame) -> list[tuple[int, int]]:
-                if job["class"].nunique() < 2:
-                    return []
-                texts = [weights.of(x, params.words) for x in job["text"]]
-                return links_of_blocks(job["rep"].to_numpy(), job["class"].to_numpy(), job["side"].to_numpy(), texts, params.similarity)
-
-            kept = None
-            for batch in batches:
-                batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-                ends = np.flatnonzero(np.diff(batch["job"].to_numpy())) + 1
-                pairs = [p for a, b in zip([0, *ends[:-1]], ends) for p in of(batch.iloc[a:b])]
-                kept = batch.iloc[ends[-1] if len(ends) else 0 :]
-                yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-            if kept is not None:
-                yield pd.DataFrame(of(kept), columns=["a", "b"], dtype="int64")
-
-        return written(rows.mapInPandas(found, "a long, b long"), "compared")
-
-    classes = written(components(found), "classes")
-    held = ordered(members, 0)
-    # The first ones of a group's salted parts make a group of their own.
-    heads = held.groupBy("band", "h", "salt").agg(F.min(F.struct("near", "s")).alias("m")).select("band", "h", "m.*")
-    pairs = candidates(neighbours(held, "band", "h", "salt").unionByName(neighbours(heads, "band", "h")), None)
-    # First the best pair of every document; then what is left between classes.
-    best = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("m"))
-    found = found.unionByName(link(best.select("m.a", "m.b").distinct()))
-    classes = written(components(found), "classes")
-    found = found.unionByName(link(apart(pairs.select("a", "b"), classes)))
-    classes = written(components(found), "classes")
-    members = written(mixed(members, classes), "members")
-    pairs = candidates(strangers(ordered(members, *range(1, 1 + params.orders)), "band", "h", "order", "salt"), pairs.select("a", "b"))
-    classes = written(joined(classes, link(pairs.select("a", "b"))), "classes")
-    classes = written(joined(classes, compared(written(mixed(members, classes), "members"))), "classes")
-    out = signs.join(reps.select("print", "rep"), "print", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    return out.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class"))
+    of = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+    heads = pairs.select("b", "salt").distinct().join(of("b"), "b")
+    return pairs.join(of("a"), "a").join(heads, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInPandas(checked, "a binary, b binary")
+
+
+def jobs(mixed: DataFrame, params: NearDupParams) -> DataFrame:
+    """Every two members of one group and of different classes, as jobs of two blocks: job, side, node, class.
+
+    A group's strangers are its members outside its largest class.  They are compared with one another, group
+    by group (groups of the same strangers are one), and with the whole of that class, class by class: a
+    class that is the largest of many groups is compared once.  Members of the largest class aren't compared
+    with one another.  Blocks hold about `params.block` documents; rows are narrow and no pair is a row."""
+    block = params.block
+    of_class = mixed.groupBy("band", "h", "class").agg(F.count("*").alias("n"))
+    largest = of_class.groupBy("band", "h").agg(F.max(F.struct("n", "class")).alias("m")).select("band", "h", F.col("m.class").alias("main"))
+    held = written(salted_join(mixed, largest, ["band", "h"], "node"), "mixed")
+    strangers = held.where(F.col("class") != F.col("main"))
+
+    def in_blocks(rows: DataFrame, count: DataFrame, name: str) -> DataFrame:
+        return salted_join(rows, count, ["main"], "node").withColumn(name, F.pmod(F.xxhash64("node", F.lit(3)), F.col(f"n_{name}")))
+
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # Strangers with the class: blocks i of the strangers and j of the class.
+    asks = strangers.select("main", "node", "class").distinct()
+    own = held.where(F.col("class") == F.col("main")).select("main", "node", "class").distinct()
+    blocks = lambda rows, name: rows.groupBy("main").agg(F.ceil(F.count("*") / block).alias(name))
+    count = written(blocks(asks, "n_i").join(blocks(own, "n_j"), "main"), "blocks")
+    left = in_blocks(asks, count, "i").withColumn("j", F.explode(upto("n_j"))).withColumn("side", F.lit(0))
+    right = in_blocks(own, count, "j").withColumn("i", F.explode(upto("n_i"))).withColumn("side", F.lit(1))
+    with_class = left.unionByName(right).select(F.xxhash64(F.lit("class"), "main", "i", "j").alias("job"), "side", "node", "class")
+    # Strangers with strangers: block i with block j, i <= j.
+    several = strangers.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("class").alias("p"), F.max("class").alias("q"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+    several = several.where("p <> q").groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "h")).alias("g")).select("g.*", F.ceil(F.col("n") / block).alias("blocks"))
+    among = salted_join(strangers.drop("main"), several, ["band", "h"], "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
+    among = among.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    among = among.withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+    among = among.select(F.xxhash64(F.lit("group"), "band", "h", F.least("own", "other"), F.greatest("own", "other")).alias("job"), "side", "node", "class")
+    return with_class.unionByName(among)
+
+
+def compared(rows: DataFrame, texts: DataFrame, shared: Broadcast, params: NearDupParams) -> DataFrame:
+    """The links that `jobs` find: a, b.  A task reads its jobs one after the other."""
+    rows = written(rows, "jobs").join(texts.select("node", "text"), "node")
+    rows = rows.repartition("job").sortWithinPartitions("job")
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, kept = shared.value, None
+
+        def of(job: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+            if job["class"].nunique() < 2:
+                return []
+            texts = [weights.of(x, params.words) for x in job["text"]]
+            classes = np.unique(job["class"].to_numpy(), return_inverse=True)[1]
+            links = links_of_blocks(np.arange(len(job)), classes, job["side"].to_numpy(), texts, params.similarity)
+            nodes = job["node"].to_numpy()
+            return [(nodes[a], nodes[b]) for a, b in links]
+
+        for batch in batches:
+            batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            ends = np.flatnonzero(np.diff(batch["job"].to_numpy())) + 1
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                yield pd.DataFrame(of(batch.iloc[a:b]), columns=["a", "b"], dtype=object)
+            kept = batch.iloc[ends[-1] if len(ends) else 0 :]
+        if kept is not None:
+            yield pd.DataFrame(of(kept), columns=["a", "b"], dtype=object)
+
+    return rows.mapInPandas(found, "a binary, b binary")
+
+
+def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`classes` (id, class) with further links between them: components of classes, not of all documents."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(classes.select(F.col("id").alias(end), F.col("class").alias(f"c{end}")), end, "left")
+    of_class = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    of_class = written(of_class.select(F.col("id").alias("class"), F.col("class").alias("_least")), "of-class")
+    moved = salted_join(classes, of_class, ["class"], "id", "left").select("id", F.coalesce("_least", "class").alias("class"))
+    alone = of_class.join(classes.select(F.col("id").alias("class")), "class", "left_anti")
+    return moved.unionByName(alone.select(F.col("class").alias("id"), F.col("_least").alias("class")))
+
+
+def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
+    """One row for each row of `docs`: doc_id and class, the smallest doc_id of its class.
+
+    Documents are of one class if links of a similarity of at least `params.similarity` lead from one
+    to the other.  Null texts and texts without words are classes of their own.  Rows with the same doc_id
+    are the same document; if their texts differ, links from any of them count.  Rows without a doc_id
+    have a null class and link no others.  Other columns take no part."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = spark.sparkContext.broadcast(Weights(*document_frequencies(docs, params)))  # ROWS * 2**slots numbers
+    signs = written(signatures(docs, shared, params), "signs")
+    # Texts with equal fingerprints are one node.  Minima are taken on the map side: no group is gathered.
+    named = signs.where("node is not null and doc_id is not null")
+    reps = named.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "t", "samples")).alias("m"))
+    reps = written(reps.select("node", "copies", "m.*"), "reps")
+    # A doc_id with several texts links their nodes.
+    same = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    same = named.join(same, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    classes = written(components(same), "classes")
+    members = written(band_members(reps, params), "members")
+    needed = members.select("node").distinct().join(reps.select("node", "doc_id", "t"), "node")
+    texts = docs.withColumn("t", F.xxhash64("text")).join(needed, ["doc_id", "t"]).groupBy("node").agg(F.min("text").alias("text"))
+    texts = written(texts, "texts")
+
+    # Turns that only save work: most links are found by one comparison a document.
+    for turn in range(params.turns):
+        pairs = written(head_pairs(mixed_groups(members, classes), turn, params), "pairs")
+        if not pairs.take(1):
+            break
+        classes = written(joined(classes, written(verified(pairs, texts, shared, params), "linked")), "classes")
+    # What decides: no two documents of one group and of different classes stay without comparison.
+    left = written(mixed_groups(members, classes), "left")
+    classes = written(joined(classes, written(compared(jobs(left, params), texts, shared, params), "compared")), "classes")
+
+    of_node = reps.select("node", "copies", "doc_id").join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    least = of_node.groupBy("class").agg(F.min("doc_id").alias("least"))
+    of_node = written(salted_join(of_node, least, ["class"], "node").select("node", "copies", F.col("least").alias("class")), "of-node")
+    # At most 1,000 texts make up more than a thousandth of all rows: they go to every task, the others by shuffle.
+    many = of_node.where(F.col("copies") > max(1000, signs.count() // 1000)).select("node", "class")
+    rows = signs.select("doc_id", "node").where("node is not null and doc_id is not null")
+    often = rows.join(F.broadcast(many), "node")
+    rest = rows.join(F.broadcast(many), "node", "left_anti").join(of_node.select("node", "class"), "node")
+    alone = signs.where("node is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class"))
+    return often.unionByName(rest).select("doc_id", "class").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """The rows of `docs` that stand for their class: one row for each class.  Rows without words or doc_id
-    are kept.  Among rows with the doc_id that stands for a class, the one with the least text is kept."""
+    are kept.  Among rows with the doc_id that stands for a class, the one with the least text is kept.
+    All columns stay, whatever their names."""
     classes = near_duplicates(docs, params).where("doc_id is not null and doc_id = class").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*rest))
-    kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = whole.join(classes, "doc_id", "left_semi")
+    kept = kept.groupBy("doc_id").agg(F.min_by("_row", F.struct(F.col("text").isNull(), "text", F.xxhash64("_row"))).alias("_row"))
+    return kept.select("_row").unionByName(whole.where("doc_id is null").select("_row")).select("_row.*")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def test_near_duplicates(spark):
     assert got == brute_classes(texts, weights, params)
 
 
-def test_near_duplicates_whose_samples_agree_little(spark):
+def test_near_duplicates_compared_in_blocks_alone(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     texts = {}
@@ -135,7 +135,7 @@ def test_near_duplicates_whose_samples_agree_little(spark):
             for _ in range(1 + c % 3):
                 w[rng.randrange(120)] = word()
             texts[len(texts)] = " ".join(w)
-    params = neardup.NearDupParams(least_agree=1.0, block=4)  # no pair passes but those of equal samples
+    params = neardup.NearDupParams(turns=0, block=4)  # all is left to the last step
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     weights = neardup.Weights(*neardup.document_frequencies(d, params))
     got = {r.doc_id: r["class"] for r in neardup.near_duplicates(d, params).collect()}
@@ -156,7 +156,7 @@ def test_blocks_join_what_brute_force_joins():
             w[rng.randrange(len(w))] = str(i)
         texts[i] = " ".join(w)
     params = neardup.NearDupParams()
-    weights = neardup.Weights(np.zeros(1 << 10), 60)
+    weights = neardup.Weights(np.zeros((2, 1 << 10)), 60)
     held, ids = [weights.of(t, params.words) for t in texts.values()], np.arange(60)
     links = neardup.links_of_blocks(ids, ids, np.zeros(60), held, params.similarity)
     want = brute_classes(texts, weights, params)
