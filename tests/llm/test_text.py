@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 
 import public_tokenizers
-from tellurion.llm import language, licenses, mixing, neardup, packing, pages, pieces, toxicity
+from tellurion.llm import language, licenses, mixing, neardup, packing, pieces, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -272,30 +272,6 @@ def docs_words(docs, doc_id):
     return _words[doc_id]
 
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head>
-<body class="x"><header><a href="/">Home</a></header><nav><ul><li><a href=1>one</a></li><li><a>two</a></li></ul></nav>
-<div class="cookie-notice">We use cookies and other things here on this page</div>
-<article><h1>A &amp; B</h1><p>First  para\ngraph with <b>some</b> bold words in it.<p>Second one, with enough words to count.
-<div class="ad">Buy this thing now</div><p>Third&nbsp;one &lt;here&gt; is the last of them all.</p></article>
-<aside>Other stories</aside><form><label>Mail</label><input></form>
-<section id="comments"><p>I like it a lot and say so in many words</p></section><footer>&copy; 2020 all of us</footer></body></html>"""
-
-
-def test_pages(spark):
-    rows = spark.createDataFrame([(1, "u", PAGE), (2, "v", None), (3, None, ""), (4, "w", "<p>" * 5000), (5, "x", "just text"), (6, "y", "a <b")], "page_id long, url string, html string")
-    got = {r.page_id: r for r in pages.extract_pages(rows, pages.PageWeights()).collect()}
-    want = "A & B\nFirst para graph with some bold words in it.\nSecond one, with enough words to count.\nThird one <here> is the last of them all."
-    assert got[1].text == want and got[1].n_chars == len(want)
-    assert (got[2].text, got[3].text, got[4].text, got[5].text) == ("", "", "", "just text")
-    assert pages.extract_pages(rows.limit(0), pages.PageWeights()).count() == 0
-
-
-def test_page_weights(spark):
-    d = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    w = pages.fit_page_weights(d)
-    assert w.word > 0 > w.other and w.tags["li"] < w.tags["p"] < 0
-
-
 def test_mixing_stage_takes_rows_without_an_id_and_of_one_id(spark):
     from collections import Counter
 
