@@ -131,7 +131,7 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = 20, params: Hilbe
         found = got if found is None else found.unionByName(got)
     if found is None:
         found = embeddings.sparkSession.createDataFrame([], FOUND)
-    return ranked(merged(found, keep), rows, is_query, queries, top, "double")
+    return ranked(merged(found, keep), rows, is_query, queries, top)
 
 
 PACKED = "n int, dim int, vectors binary, starts binary, ids binary"

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -6,15 +8,23 @@ from tellurion.llm import hilbert, mtree
 SHAPE = "vec_id long, embedding array<float>, label int"
 
 
+LIMIT = 2**63 - 1
+
+
 def brute(rows, scale=None, top=20, zero=True):
-    good = {i: np.array(v, dtype=float) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))}
-    x = {i: np.floor(v * scale) if scale else v for i, v in good.items()}
+    good = {i: v for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))}
+    held = lambda x: max(-LIMIT, min(LIMIT, x))
+    if scale:
+        x = {i: np.array([held(math.floor(scale * c)) for c in v], dtype=object) for i, v in good.items()}
+        score = lambda a, b: held(int(a @ b)) if len(a) else 0
+    else:
+        x, score = {i: np.array(v, dtype=float) for i, v in good.items()}, lambda a, b: float(a @ b)
     out = {}
     for q in x:
         if q % 20 == 0:
-            s = sorted((-float(x[q] @ x[i]), i) for i in x if i != q and len(x[i]) == len(x[q]))
+            s = sorted((-score(x[q], x[i]), i) for i in x if i != q and len(x[i]) == len(x[q]))
             out[q] = [(i, -v) for v, i in s[:top]]
-    return out
+    return {q: v for q, v in out.items() if v}
 
 
 @pytest.fixture(scope="module")
@@ -33,9 +43,22 @@ def found(df):
     return got
 
 
-def test_mtree_is_exact(spark, rows):
-    got = found(mtree.exact_top(spark.createDataFrame(rows, SHAPE), params=mtree.TreeParams(tree=100, leaf=8)))
-    assert got == {q: [(i, int(s)) for i, s in v] for q, v in brute(rows, 64).items()}
+@pytest.mark.parametrize("tree", [100, 4096])
+def test_mtree_is_exact(spark, rows, tree):
+    got = found(mtree.exact_top(spark.createDataFrame(rows, SHAPE), params=mtree.TreeParams(tree=tree, leaf=8)))
+    assert got == brute(rows, 64)
+
+
+def test_mtree_of_clusters_huge_numbers_and_equal_rows(spark):
+    rng = np.random.default_rng(5)
+    near = [(i, (rng.normal(size=4) * 0.1 + 10 * (i % 7)).tolist()) for i in range(500)]
+    huge = [(1000 + i, (rng.normal(size=3) * 10.0 ** (i % 19)).tolist()) for i in range(120)]
+    huge += [(-20, [1e30, -1e30, 0.0]), (-40, [1e300, 1.0, 1.0]), (-41, [-1e300, 0.0, 2.0]), (1200, [1e16, 3.0, 0.015625])]
+    same = [(2000 + i, [0.5, -0.5]) for i in range(100)]
+    none = [(3000, []), (3001, []), (3020, [])]
+    rows = near + huge + same + none
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as score", "3 as vec")
+    assert found(mtree.exact_top(d, params=mtree.TreeParams(tree=64, leaf=8))) == brute(rows, 64)
 
 
 def test_hilbert_recall(spark, rows):
