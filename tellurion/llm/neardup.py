@@ -407,7 +407,7 @@ def compared(rows: DataFrame, texts: DataFrame, shared: Broadcast, params: NearD
         for batch in batches:
             batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
             ends = np.flatnonzero(np.diff(batch["job"].to_numpy())) + 1
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            for a, b in zip([0, *ends], ends, strict=False):
                 yield pd.DataFrame(of(batch.iloc[a:b]), columns=["a", "b"], dtype=object)
             kept = batch.iloc[ends[-1] if len(ends) else 0 :]
         if kept is not None:
