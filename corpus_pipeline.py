@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 
 from tellurion.llm.common import table, written
 from tellurion.llm.language import UNKNOWN, fit_language_model, identify
-from tellurion.llm.mixing import mixed_copies
+from tellurion.llm.mixing import mix
 from tellurion.llm.neardup import keep_one
 from tellurion.llm.pieces import piece_digests
 from tellurion.llm.toxicity import fit_toxicity, score_severity
 
-#: No stage's rows can be had by SQL; tests/llm holds them against brute force.
+#: No stage's rows can be had by SQL; tests/llm/test_pipeline.py holds each against brute force.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, in which no language can be told, go.  A document of another language
-    than its `lang` says stays."""
+    """Every document's `lang` becomes the language its text is found to be in, whatever it said before.
+    Documents without a letter, in which no language can be told, go."""
     found = identify(docs, fit_language_model(docs))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col("lang_pred" if c == "lang" else f"`{c}`").alias(c) for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, up to three times or not at all, whether its doc_id is null,
     its own or that of other rows too."""
-    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    taken = mixed_copies(whole, carry=["_row"]).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    return mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
