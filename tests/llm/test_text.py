@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 
 import public_tokenizers
-from tellurion.llm import language, licenses, mixing, neardup, packing, pieces, toxicity
+from tellurion.llm import language, mixing, neardup, packing, pieces, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -222,17 +222,6 @@ def test_best_fit_decreasing():
     assert sorted(100 - sum(lengths[i] for i in r) for r in got) == sorted(space)
 
 
-def test_licenses(spark, edge):
-    rows = [(1, "Licensed under CC BY-NC 4.0. ccK by"), (2, "ALL RIGHTS RESERVED all-rights-reserved"), (3, "the gnu General Public\nLicense"), (4, "cc. by; cc by cc by"), (5, "c c by")]
-    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert (got[1].n_base, got[1].first_word, got[1].base_labels, got[1].labels) == (1, 2, "cc-by", "cc-by,cc-by-nc")
-    assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].labels, got[2].score) == (2, 0, 3, "reserved", 1.0)
-    assert got[3].base_labels == "gpl" and (got[4].n_base, got[4].last_word, got[4].n_words) == (3, 4, 6)
-    assert (got[5].n_base, got[5].first_word, got[5].labels, got[5].score) == (0, None, "", 0.0)
-    assert [r.n_words for r in licenses.scan_licenses(edge.withColumn("score", edge.n_chars)).collect()] == [0, 0, 0, 30_000, 30_000, 2]
-    assert licenses.scan_licenses(edge.limit(0)).count() == 0
-
-
 def dense_rates(words, target):
     """The rates by Newton steps on the whole dual at once, sources and bands, in one dense system."""
     import numpy as np
