@@ -82,7 +82,8 @@ class LanguageModel:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    """Whether a document is kept for testing; one without an id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def fit_language_model(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
@@ -105,7 +106,8 @@ def fit_language_model(docs: DataFrame, params: LanguageParams = LanguageParams(
                         for i in range(len(w) - n + 1):
                             grams[w[i : i + n]] += k
                 for n, c in found.items():
-                    yield pd.DataFrame({"lang": lang, "n": n, "gram": list(c), "k": list(c.values())})
+                    if c:
+                        yield pd.DataFrame({"lang": lang, "n": n, "gram": list(c), "k": list(c.values())})
 
     sample = bounded_by_class(docs.select("doc_id", "text", "lang"), "lang", "doc_id", params.train_docs)
     sums = sample.select("lang", "text").mapInPandas(counted, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))

@@ -155,7 +155,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
             n = [Counter(), Counter()]
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 n[toxic].update(features(WORDS((text or "").lower())))
-            both = list(n[0] | n[1])
+            if not (both := list(n[0] | n[1])):
+                continue
             yield pd.DataFrame({"word": both, "clean": [n[0][w] for w in both], "toxic": [n[1][w] for w in both]})
 
     sums = texts.mapInPandas(counted, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
