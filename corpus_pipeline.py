@@ -20,17 +20,22 @@ from tellurion.llm.toxicity import fit_toxicity, score_severity
 ORACLE_SQL = None
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row, so that no column of a row can clash with what an operator adds."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's `lang` becomes the language its text is found to be in, whatever it said before.
     Documents without a letter, in which no language can be told, go."""
-    found = identify(docs, fit_language_model(docs))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col("lang_pred" if c == "lang" else f"`{c}`").alias(c) for c in docs.columns])
+    found = identify(whole_rows(docs), fit_language_model(docs)).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are rather toxic than not, of any grade, go."""
-    scored = score_severity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
-    return scored.where(~F.col("toxic")).select(*docs.columns)
+    scored = score_severity(whole_rows(docs), fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.where(~F.col("toxic")).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
