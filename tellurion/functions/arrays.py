@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,21 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+#: Rows of a window's key at most, but for the few that reach over from its neighbours.
+RANGE = 65536
+
+
+def in_ranges(rows: DataFrame, place: str, back: int, ahead: int) -> DataFrame:
+    """`rows` dealt to ranges of their `place` (0, 1, 2, ... within a key), for windows that reach `back` and
+    `ahead` rows: with _range, and _own, which is false for the rows that a range borrows from its neighbours.
+    A window over a long series is then many tasks, and gives the same values for the rows that are _own."""
+    at, size = F.col(place), max(RANGE, back + ahead)
+    k, rest = F.floor(at / size), at % size
+    ranges = F.array_compact(F.array(k, F.when((rest < ahead) & (k > 0), k - 1), F.when(rest >= size - back, k + 1)))
+    dealt = rows.withColumn("_range", F.explode(ranges))
+    return dealt.withColumn("_own", F.col("_range") == F.floor(at / size))
+
+
 def frame(value: Column, partition: list[str], order: str, back: int, ahead: int) -> Column:
     """The values of the rows around each row, as an array of structs (so that nulls stay)."""
     w = Window.partitionBy(*partition).orderBy(order).rowsBetween(-back, ahead)

@@ -78,7 +78,8 @@ def one_per_tile_and_day(scenes: DataFrame) -> DataFrame:
 
 
 def select_scenes(scenes: DataFrame, pixels: DataFrame, roi: tuple[float, float, float, float], years: tuple[int, int], season: tuple[str, str], *, cloud_max: float = 10, per_year: int = 4, cloud_threshold: float | None = 5, snow_threshold: float | None = None, start: str | None = None, final: str | None = None) -> DataFrame:
-    """All steps in order, as one lazy plan."""
+    """All steps in order, as one lazy plan; the scenes with their date_tile.  A mask for water is no step of its
+    own: it changes pixels, by masked_water, and no choice of scenes."""
     rows = covering(scan(scenes, roi, cloud_max), roi)
     if cloud_threshold is not None:
         rows = at_most(rows, cloud_share(pixels), "cloud_pct", cloud_threshold)

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import array_median, clamped, frame, gaussian_weights, reflected
+from ..functions.arrays import array_median, clamped, frame, gaussian_weights, in_ranges, reflected
 
-def pair():
-    return Window.partitionBy("pair_id")
+
+def with_pair(d: DataFrame, **sums: Column) -> DataFrame:
+    """Each row with sums over its pair: partial sums and a join, so that no task holds a whole pair."""
+    per = d.groupBy("pair_id").agg(*[c.alias(n) for n, c in sums.items()])
+    return d.join(per, "pair_id", "left")
 
 
 def kept(c: str) -> Column:
@@ -42,8 +45,9 @@ def by_mask(d: DataFrame, mask: DataFrame, height: int, width: int) -> DataFrame
 
 
 def by_deviation(d: DataFrame, k: float = 3.0) -> DataFrame:
-    near = [F.abs(F.col(c) - F.avg(kept(c)).over(pair())) < k * F.stddev_pop(kept(c)).over(pair()) for c in ("u", "v")]
-    return still(d, near[0] & near[1])
+    d = with_pair(d, **{f"_m{c}": F.avg(kept(c)) for c in ("u", "v")}, **{f"_s{c}": F.stddev_pop(kept(c)) for c in ("u", "v")})
+    near = [F.abs(F.col(c) - F.col(f"_m{c}")) < k * F.col(f"_s{c}") for c in ("u", "v")]
+    return still(d, near[0] & near[1]).drop("_mu", "_mv", "_su", "_sv")
 
 
 def around(values: Column, i: Column, n: Column, radius: int) -> Column:
@@ -64,27 +68,30 @@ def by_angle(d: DataFrame, threshold: float = 30.0, sigma: float = 1.0) -> DataF
     r = len(gaussian_weights(sigma)) // 2
     length = F.hypot("u", "v")
     unit = [F.when(F.col("valid"), F.coalesce(F.try_divide(F.col(c), length), F.lit(0.0))).alias(n) for c, n in (("u", "c"), ("v", "s"))]
-    d = d.withColumn("_v", F.struct(*unit, F.col("valid").cast("double").alias("m"))).withColumn("_n", F.count("*").over(pair()))
-    d = d.withColumn("_f", frame(F.col("_v"), ["pair_id"], "pt_idx", r, r))
+    d = with_pair(d, _n=F.count("*")).withColumn("_v", F.struct(*unit, F.col("valid").cast("double").alias("m")))
+    d = in_ranges(d, "pt_idx", r, r)
+    d = d.withColumn("_f", frame(F.col("_v"), ["pair_id", "_range"], "pt_idx", r, r)).where("_own")
     d = d.withColumn("_a", around(F.col("_f"), F.col("pt_idx"), F.col("_n"), r))
     norm = F.greatest(weighted(F.col("_a"), "m", sigma), F.lit(1e-6))
     d = d.withColumn("_off", F.atan2("v", "u") - F.atan2(weighted(F.col("_a"), "s", sigma) / norm, weighted(F.col("_a"), "c", sigma) / norm))
-    return still(d, F.degrees(F.abs(F.atan2(F.sin("_off"), F.cos("_off")))) <= threshold).drop("_v", "_n", "_f", "_a", "_off")
+    return still(d, F.degrees(F.abs(F.atan2(F.sin("_off"), F.cos("_off")))) <= threshold).drop("_v", "_n", "_f", "_a", "_off", "_range", "_own")
 
 
 def without_median(d: DataFrame) -> DataFrame:
     """The valid rows' median taken from all rows."""
-    return d.withColumns({c: F.col(c) - F.median(kept(c)).over(pair()) for c in ("u", "v")})
+    d = with_pair(d, _mu=F.median(kept("u")), _mv=F.median(kept("v")))
+    return d.withColumns({c: F.col(c) - F.col(f"_m{c}") for c in ("u", "v")}).drop("_mu", "_mv")
 
 
 def running_median(d: DataFrame, size: int) -> DataFrame:
     """mu, mv: medians of the valid values around each point in order, the edge repeated; a window of even
     size reaches one further back."""
     back, ahead = size // 2, size - 1 - size // 2
-    d = d.withColumn("_n", F.count("*").over(pair())).withColumns({f"_f{c}": frame(kept(c), ["pair_id"], "pt_idx", back, ahead) for c in ("u", "v")})
+    d = in_ranges(with_pair(d, _n=F.count("*")), "pt_idx", back, ahead)
+    d = d.withColumns({f"_f{c}": frame(kept(c), ["pair_id", "_range"], "pt_idx", back, ahead) for c in ("u", "v")}).where("_own")
     first = F.greatest(F.col("pt_idx") - back, F.lit(0))
     at = lambda c: F.transform(F.sequence(F.lit(-back), F.lit(ahead)), lambda k: F.get(F.col(f"_f{c}"), (clamped(F.col("pt_idx") + k, F.col("_n")) - first).cast("int"))["v"])
-    return d.withColumns({f"m{c}": array_median(at(c)) for c in ("u", "v")}).drop("_n", "_fu", "_fv")
+    return d.withColumns({f"m{c}": array_median(at(c)) for c in ("u", "v")}).drop("_n", "_fu", "_fv", "_range", "_own")
 
 
 def by_neighbours(d: DataFrame, threshold: float, size: int = 5) -> DataFrame:
@@ -99,8 +106,8 @@ def median_smoothed(d: DataFrame, size: int = 5) -> DataFrame:
 
 def by_quality(d: DataFrame, name: str, threshold: float) -> DataFrame:
     """pkr or snr at least `threshold`; no filter in a pair that has none at all."""
-    none = F.count(name).over(pair()) == 0
-    return still(d, none | (F.col(name) >= threshold))
+    d = with_pair(d, _some=F.count(name))
+    return still(d, (F.col("_some") == 0) | (F.col(name) >= threshold)).drop("_some")
 
 
 def end(d: DataFrame) -> DataFrame:
@@ -132,7 +139,7 @@ def median_field(d: DataFrame, years: DataFrame | None, pixel_size: float = 10.0
     the points in the order in which pairs first have them."""
     t = F.lit(1.0)
     if years is not None:
-        d, t = d.join(F.broadcast(years), "pair_id"), F.col("years")  # one row for each pair of scenes
+        d, t = d.join(years, "pair_id"), F.col("years")
     f = d.groupBy("x", "y").agg((F.median(F.try_divide(F.col("u"), t)) * pixel_size).alias("u"), (F.median(F.try_divide(F.col("v"), t)) * pixel_size).alias("v"), F.min(F.struct("pair_id", "pt_idx")).alias("ord"))
     if slope is not None:
         s = slope.select(F.col("y").alias("_y"), F.col("x").alias("_x"), F.greatest(F.cos(F.radians("slope")), F.lit(1e-3)).alias("_k"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import frame, gaussian_weights, turned
+from ..functions.arrays import RANGE, frame, gaussian_weights, in_ranges, turned
 from .displacement import around, weighted
 
 
@@ -17,16 +17,24 @@ def above(field: DataFrame, threshold: float | None = None, share: float = 0.95)
     return field.join(F.broadcast(limit), F.col("mag") > F.col("limit")).drop("limit")
 
 
+def numbered(field: DataFrame) -> DataFrame:
+    """Each point with _i, its place in the order of ord (pair_id, pt_idx), and _n, how many there are.  Slices
+    of a pair's points are counted first; what is ordered as a whole has a row for each slice."""
+    f = field.withColumns({"_p": F.col("ord.pair_id"), "_k": F.floor(F.col("ord.pt_idx") / RANGE)})
+    slices = f.groupBy("_p", "_k").agg(F.count("*").alias("_c"))
+    slices = slices.withColumns({"_before": F.sum("_c").over(Window.orderBy("_p", "_k")) - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy())}).drop("_c")
+    here = F.row_number().over(Window.partitionBy("_p", "_k").orderBy("ord"))
+    return f.join(slices, ["_p", "_k"]).withColumn("_i", F.col("_before") + here - 1).drop("_p", "_k", "_before")
+
+
 def coherent(field: DataFrame, threshold: float = 30.0, sigma: float = 1.0) -> DataFrame:
-    """Direction within `threshold` degrees of that smoothed along ord.  A field has a row for each pixel of
-    a grid, however many pairs it comes from."""
+    """Direction within `threshold` degrees of that smoothed along ord."""
     r = len(gaussian_weights(sigma)) // 2
-    w = Window.orderBy("ord")
-    f = field.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    f = f.withColumn("_f", frame(F.struct(F.cos("ang").alias("c"), F.sin("ang").alias("s")), [], "_i", r, r))
+    f = in_ranges(numbered(field), "_i", r, r)
+    f = f.withColumn("_f", frame(F.struct(F.cos("ang").alias("c"), F.sin("ang").alias("s")), ["_range"], "_i", r, r)).where("_own")
     f = f.withColumn("_a", around(F.col("_f"), F.col("_i"), F.col("_n"), r))
     f = f.withColumn("_off", F.col("ang") - F.atan2(weighted(F.col("_a"), "s", sigma), weighted(F.col("_a"), "c", sigma)))
-    return f.where(F.degrees(F.abs(F.atan2(F.sin("_off"), F.cos("_off")))) <= threshold).drop("_i", "_n", "_f", "_a", "_off")
+    return f.where(F.degrees(F.abs(F.atan2(F.sin("_off"), F.cos("_off")))) <= threshold).drop("_i", "_n", "_f", "_a", "_off", "_range", "_own")
 
 
 def at_pixels(field: DataFrame, terrain: DataFrame, *columns: str) -> DataFrame:
@@ -64,15 +72,22 @@ def dense(field: DataFrame, eps: float = 10.0, least: int = 5) -> DataFrame:
     return field.join(close(points, core).select("x", "y").distinct(), ["x", "y"], "left_semi")
 
 
-def final_map(field: DataFrame, terrain: DataFrame, *, threshold: float | None = None, angle: float | None = 30.0, least_slope: float | None = 5.0, tolerance: float | None = 45.0, eps: float | None = 10.0, least: int = 5) -> DataFrame:
+def final_map(field: DataFrame, terrain: DataFrame, *, threshold: float | None = None, angle: float | None = 30.0, least_slope: float | None = 5.0, tolerance: float | None = 45.0, eps: float | None = 10.0, least: int = 5, stop_early: bool = False) -> DataFrame:
+    """All filters in their order, those that are asked for.  With `stop_early` the rest is left out once a step
+    leaves one point or none, which takes a job after each step; else all is one lazy plan."""
     f = above(field, threshold)
-    if angle is not None:
-        f = coherent(f, angle)
-    if least_slope is not None:
-        f = steep(f, terrain, least_slope)
-    if tolerance is not None:
-        f = downhill(f, terrain, tolerance)
-    return f if eps is None else dense(f, eps, least)
+    steps = [
+        None if angle is None else lambda f: coherent(f, angle),
+        None if least_slope is None else lambda f: steep(f, terrain, least_slope),
+        None if tolerance is None else lambda f: downhill(f, terrain, tolerance),
+        None if eps is None else lambda f: dense(f, eps, least),
+    ]
+    for step in steps:
+        if step is not None:
+            if stop_early and len(f.select("x").take(2)) < 2:
+                return f
+            f = step(f)
+    return f
 
 
 def within(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,13 +6,17 @@ blocks); the phase correlation needs a transform and runs over Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import flow
+from .displacement import filter_pairs
+from .raster import stride
+
 SUBPIXEL = ("none", "parabolic", "center_of_mass", "gaussian", "os3", "os5", "os7", "ipg", "ensemble")
 
 
@@ -22,8 +26,32 @@ def centred(a: Column) -> Column:
     return F.transform(a, lambda x: x - mean)
 
 
+#: From this size on the correlation goes by a transform over Arrow batches: the expression takes size ** 4 steps.
+BY_TRANSFORM = 16
+
+
 def ncc_surface(blocks: DataFrame, size: int) -> DataFrame:
-    """Adds c: the correlation for every shift, row by row, shift 0 at (size // 2, size // 2)."""
+    """Adds c: the correlation for every shift, row by row, shift 0 at (size // 2, size // 2); nulls for a flat
+    block."""
+    return ncc_by_transform(blocks, size) if size >= BY_TRANSFORM else ncc_by_expression(blocks, size)
+
+
+def _images(blocks: pd.Series, size: int) -> np.ndarray:
+    return np.stack(blocks.to_list()).reshape(-1, size, size) if len(blocks) else np.zeros((0, size, size))
+
+
+def ncc_by_transform(blocks: DataFrame, size: int) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def surface(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (s - s.mean(axis=(1, 2), keepdims=True) for s in (_images(a, size), _images(b, size)))
+        scale = np.sqrt((x * x).sum((1, 2)) * (y * y).sum((1, 2))) * size * size
+        c = np.fft.fftshift(np.real(np.fft.ifft2(np.fft.fft2(x) * np.conj(np.fft.fft2(y)))), axes=(1, 2)).reshape(len(x), size * size)
+        return pd.Series([c[k] / scale[k] if scale[k] > 0 else None for k in range(len(c))], dtype=object)
+
+    return blocks.withColumn("c", surface("a", "b"))
+
+
+def ncc_by_expression(blocks: DataFrame, size: int) -> DataFrame:
     b = blocks.withColumns({"_a": centred(F.col("a")), "_b": centred(F.col("b"))})
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     half, n = size // 2, size * size
@@ -76,7 +104,7 @@ def log_parabolic(size: int) -> tuple[Column, Column]:
 
     def one(a: Column, b: Column, c: Column) -> Column:
         x = (ln(a) - ln(c)) / (2 * F.nullif(ln(a) - 2 * ln(b) + ln(c), F.lit(0.0)))
-        ok = a.isNotNull() & c.isNotNull()
+        ok = a.isNotNull() & c.isNotNull() & x.isNotNull()
         return F.coalesce(F.when(ok, F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))), F.lit(0.0))
 
     mid = _at(i, j, size)
@@ -131,8 +159,7 @@ def pcc_surface(blocks: DataFrame, size: int) -> DataFrame:
     """Adds c by phase correlation: the spectra's product over its absolute value, transformed back."""
     @F.pandas_udf("array<double>")
     def surface(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.stack(s.to_list()).reshape(-1, size, size) if len(s) else np.zeros((0, size, size)) for s in (a, b))
-        x, y = np.fft.fft2(x), np.fft.fft2(y)
+        x, y = np.fft.fft2(_images(a, size)), np.fft.fft2(_images(b, size))
         cross = x * np.conj(y)
         c = np.fft.fftshift(np.real(np.fft.ifft2(cross / (np.abs(cross) + 1e-10))), axes=(1, 2))
         return pd.Series(list(c.reshape(len(c), -1)))
@@ -148,29 +175,63 @@ def match_upsampled(blocks: DataFrame, size: int, factor: int = 10) -> DataFrame
     """u, v from phase correlation evaluated at every 1/factor pixel around its peak; no pkr or snr."""
     @F.pandas_udf("u double, v double")
     def found(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        out, freq = [], np.fft.fftfreq(size)
-        fine = np.arange(-1.5 * factor, 1.5 * factor + 1) / factor
-        for p, q in zip(a, b, strict=True):
-            cross = np.fft.fft2(np.reshape(p, (size, size))) * np.conj(np.fft.fft2(np.reshape(q, (size, size))))
-            cross = cross / np.maximum(np.abs(cross), 100 * np.finfo(float).eps)
-            peak = np.unravel_index(np.argmax(np.abs(np.fft.ifft2(cross))), (size, size))
-            base = [k - size if k > size // 2 else k for k in peak]
-            ey, ex = (np.exp(2j * np.pi * np.outer(base[k] + fine, freq)) for k in (0, 1))
-            k = np.unravel_index(np.argmax(np.abs(ey @ cross @ ex.T)), (len(fine), len(fine)))
-            out.append((-(base[1] + fine[k[1]]), -(base[0] + fine[k[0]])))
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    return blocks.withColumn("_f", found("a", "b")).select(*blocks.columns, "_f.u", "_f.v", F.lit(None).cast("double").alias("pkr"), F.lit(None).cast("double").alias("snr"))
-
-
-def match_by(blocks: DataFrame, size: int, func: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
-    """u, v, pkr, snr from func(block1, block2) -> (dx, dy, pkr, snr)."""
-    def applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [func(np.reshape(a, (size, size)), np.reshape(b, (size, size))) for a, b in zip(batch["a"], batch["b"], strict=True)]
-            yield pd.DataFrame({"block_id": batch["block_id"], "u": [-x[0] for x in got], "v": [-x[1] for x in got], "pkr": [x[2] for x in got], "snr": [x[3] for x in got]})
-
-    return blocks.mapInPandas(applied, "block_id long, u double, v double, pkr double, snr double")
+        freq, fine = np.fft.fftfreq(size), np.arange(-1.5 * factor, 1.5 * factor + 1) / factor
+        cross = np.fft.fft2(_images(a, size)) * np.conj(np.fft.fft2(_images(b, size)))
+        cross = cross / np.maximum(np.abs(cross), 100 * np.finfo(float).eps)
+        peak = np.abs(np.fft.ifft2(cross)).reshape(len(cross), size * size).argmax(axis=1)
+        base = np.stack([peak // size, peak % size])
+        base = np.where(base > size // 2, base - size, base)
+        ey, ex = (np.exp(2j * np.pi * (base[k][:, None, None] + fine[None, :, None]) * freq[None, None, :]) for k in (0, 1))
+        best = np.abs(ey @ cross @ ex.transpose(0, 2, 1)).reshape(len(cross), len(fine) ** 2).argmax(axis=1)
+        return pd.DataFrame({"u": -(base[1] + fine[best % len(fine)]), "v": -(base[0] + fine[best // len(fine)])})
+
+    none = F.lit(None).cast("double")
+    return blocks.withColumn("_f", found("a", "b")).select(*blocks.columns, "_f.u", "_f.v", none.alias("pkr"), none.alias("snr"))
+
+
+Matcher = Callable[[np.ndarray, np.ndarray], tuple]
+
+
+def match_by(blocks: DataFrame, size: int, func: Matcher) -> DataFrame:
+    """Adds u, v, pkr, snr from func(block1, block2) -> (dx, dy, pkr, snr)."""
+    @F.pandas_udf("u double, v double, pkr double, snr double")
+    def applied(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        got = [func(x, y) for x, y in zip(_images(a, size), _images(b, size), strict=True)]
+        return pd.DataFrame([(-x[0], -x[1], x[2], x[3]) for x in got], columns=["u", "v", "pkr", "snr"], dtype="Float64")
+
+    return blocks.withColumn("_f", applied("a", "b")).select(*blocks.columns, "_f.*")
+
+
+def matched(blocks: DataFrame, size: int, by: str | Matcher = "ncc", subpixel: str = "parabolic") -> DataFrame:
+    """Matches blocks by the method named (ncc, pcc, upsampled, flow) or by a function of two blocks."""
+    if callable(by):
+        return match_by(blocks, size, by)
+    if by in ("ncc", "pcc"):
+        return (match_ncc if by == "ncc" else match_pcc)(blocks, size, subpixel)
+    if by == "upsampled":
+        return match_upsampled(blocks, size)
+    if by == "flow":
+        return flow.match_flow(blocks, size)
+    raise ValueError(f"no such match: {by}")
+
+
+def track(stack: DataFrame, pairs: DataFrame, shape: tuple[int, int], method: str = "block_matching", block: int = 16, overlap: float = 0.8, by: str | Matcher = "ncc", subpixel: str = "parabolic", filters: dict | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Displacements of all pairs (pair_id, idx1, idx2) of scenes of a stack (scene, y, x, v): pair_id, pt_idx,
+    x, y, u, v, pkr, snr.  `method`: block_matching, or optical_flow for every pixel.  `filters`: what
+    filter_pairs takes, or a function from DataFrame to DataFrame.  Pairs whose scenes aren't in the stack
+    give no rows."""
+    if method == "block_matching":
+        step, (height, width) = stride(block, overlap), shape
+        blocks = pair_blocks(cut_blocks(stack, block, step, height, width), pairs, (width - block) // step + 1)
+        rows = matched(blocks, block, by, subpixel)
+    elif method == "optical_flow":
+        rows = flow.dense_flow(stack, pairs, shape)
+    else:
+        raise ValueError(f"no such method: {method}")
+    rows = rows.select("pair_id", "pt_idx", "x", "y", *[F.col(c).cast("double").alias(c) for c in ("u", "v", "pkr", "snr")])
+    if filters is None:
+        return rows
+    return filters(rows) if callable(filters) else filter_pairs(rows, **filters)
 
 
 def cut_blocks(pixels: DataFrame, size: int, step: int, height: int, width: int) -> DataFrame:
@@ -184,8 +245,10 @@ def cut_blocks(pixels: DataFrame, size: int, step: int, height: int, width: int)
     return p.groupBy("scene", "by", "bx").agg(data.alias("data")).withColumns({"y": F.col("by") * step + size // 2, "x": F.col("bx") * step + size // 2})
 
 
-def pair_blocks(cut: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, x, y, a, b: the blocks of both scenes (idx1, idx2) of every pair."""
+def pair_blocks(cut: DataFrame, pairs: DataFrame, columns: int) -> DataFrame:
+    """pair_id, pt_idx (the block's place, row by row, of `columns` blocks a row), x, y, a, b: the blocks of both
+    scenes (idx1, idx2) of every pair."""
     a = cut.select(F.col("scene").alias("idx1"), "by", "bx", "x", "y", F.col("data").alias("a"))
     b = cut.select(F.col("scene").alias("idx2"), "by", "bx", F.col("data").alias("b"))
-    return pairs.join(a, "idx1").join(b, ["idx2", "by", "bx"]).select("pair_id", (F.col("by") * 100000 + F.col("bx")).alias("block_id"), "x", "y", "a", "b")
+    both = pairs.select("pair_id", "idx1", "idx2").join(a, "idx1").join(b, ["idx2", "by", "bx"])
+    return both.select("pair_id", (F.col("by") * columns + F.col("bx")).alias("pt_idx"), "x", "y", "a", "b")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +79,39 @@ def stretched(stack: DataFrame) -> DataFrame:
     return stack.withColumn("v", F.least(F.lit(255.0), F.round(F.abs(F.col("v") * 255 / F.nullif(top, F.lit(0.0))))))
 
 
-def orientation(stack: DataFrame, height: int, width: int) -> DataFrame:
-    """v as cosine plus sine of the angles of second differences, straight and diagonal; mirrored edges
-    (the edge not repeated).  Values are kept as doubles."""
+def masked(stack: DataFrame, mask: DataFrame) -> DataFrame:
+    """The stack with null for every pixel that the mask (y, x, invalid) rules out."""
+    out = stack.join(mask.where("invalid").select("y", "x", F.lit(True).alias("_out")), ["y", "x"], "left")
+    return out.withColumn("v", F.when(F.col("_out").isNull(), F.col("v"))).drop("_out")
+
+
+def preprocessed(stack: DataFrame, method: str | None, height: int, width: int, custom: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """What a method works on: orientation, stretched and standardised, for cross_corr; 8 bit for optical_flow;
+    the values for None.  Nulls count as 0.  `custom` is a function of a scene's image, applied last, a task a
+    scene."""
+    stack = stack.withColumn("v", F.coalesce("v", F.lit(0.0)))
+    if method == "cross_corr":
+        stack = standardised(orientation(stack, height, width))
+    elif method == "optical_flow":
+        stack = stretched(stack)
+    elif method is not None:
+        raise ValueError(f"no such method: {method}")
+    if custom is None:
+        return stack
+
+    def applied(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width))
+        image[pdf["y"], pdf["x"]] = pdf["v"]
+        return pdf[["scene", "y", "x"]].assign(v=np.asarray(custom(image), dtype=float)[pdf["y"], pdf["x"]])
+
+    kind = dict(stack.dtypes)["scene"]
+    return stack.select("scene", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("scene").applyInPandas(applied, f"scene {kind}, y int, x int, v double")
+
+
+def orientation(stack: DataFrame, height: int, width: int, whole: bool = False) -> DataFrame:
+    """v as cosine plus sine of the angles of the four directions' ridges (twice a pixel less its neighbours),
+    straight and diagonal; mirrored edges (the edge not repeated).  `whole`: for stacks of 8 bits, whose ridges
+    are kept within 8 bits too, so that valleys are 0."""
     def at(j: Column, n: int) -> Column:
         m = F.pmod(j, F.lit(2 * (n - 1)))
         return F.when(m < n, m).otherwise(2 * (n - 1) - m)
@@ -85,19 +120,42 @@ def orientation(stack: DataFrame, height: int, width: int) -> DataFrame:
     spread = stack.select("scene", "y", "x", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), at(F.col("y") + dy, height).alias("sy"), at(F.col("x") + dx, width).alias("sx")) for k, (dy, dx) in enumerate(steps)])).alias("e")).select("scene", "y", "x", "e.*")
     source = stack.select("scene", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
     n = spread.join(source, ["scene", "sy", "sx"]).groupBy("scene", "y", "x").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"p{k}") for k in range(9)])
-    second = lambda a, b: F.col(f"p{a}") - 2 * F.col("p4") + F.col(f"p{b}")
-    straight, diagonal = F.atan2(second(3, 5), second(1, 7)), F.atan2(second(0, 8), second(2, 6))
+    ridge = lambda a, b: 2 * F.col("p4") - F.col(f"p{a}") - F.col(f"p{b}")
+    kept = lambda a, b: F.least(F.greatest(ridge(a, b), F.lit(0.0)), F.lit(255.0)) if whole else ridge(a, b)
+    straight, diagonal = F.atan2(kept(3, 5), kept(1, 7)), F.atan2(kept(0, 8), kept(2, 6))
     return n.select("scene", "y", "x", (F.cos(straight) + F.cos(diagonal) + F.sin(straight) + F.sin(diagonal)).alias("v"))
 
 
-def slope(terrain: DataFrame, dx: float = 10.0, dy: float = 10.0) -> DataFrame:
-    """Slope in degrees from central differences, one-sided at edges."""
+def gradients(dx: float, dy: float) -> tuple[Column, Column]:
+    """Of dem along x and y: central differences, one-sided at edges."""
     def gradient(w: Window, step: float) -> Column:
         before, after = F.lag("dem").over(w), F.lead("dem").over(w)
         return F.coalesce((after - before) / (2 * step), (after - F.col("dem")) / step, (F.col("dem") - before) / step, F.lit(0.0))
 
-    gx, gy = gradient(Window.partitionBy("y").orderBy("x"), dx), gradient(Window.partitionBy("x").orderBy("y"), dy)
-    return terrain.withColumn("slope_deg", F.degrees(F.atan(F.hypot(gx, gy))))
+    return gradient(Window.partitionBy("y").orderBy("x"), dx), gradient(Window.partitionBy("x").orderBy("y"), dy)
+
+
+def slope(terrain: DataFrame, dx: float = 10.0, dy: float = 10.0) -> DataFrame:
+    """Slope in degrees."""
+    return terrain.withColumn("slope_deg", F.degrees(F.atan(F.hypot(*gradients(dx, dy)))))
+
+
+def aspect(terrain: DataFrame, dx: float = 10.0, dy: float = 10.0) -> DataFrame:
+    """The direction downhill in degrees clockwise from north; y grows to the south.  0 where it is flat."""
+    gx, gy = gradients(dx, dy)
+    return terrain.withColumn("aspect_deg", F.pmod(F.degrees(F.atan2(-gx, gy)), F.lit(360.0)))
+
+
+def shape_of(raster: DataFrame) -> tuple[int, int]:
+    """Height and width of a raster, from all of it."""
+    found = raster.agg(F.max("y"), F.max("x")).first()
+    return (found[0] or 0) + 1, (found[1] or 0) + 1
+
+
+def resampled_terrain(terrain: DataFrame, shape: tuple[int, int], out: tuple[int, int], columns: tuple[str, ...] = ("dem", "slope", "aspect")) -> DataFrame:
+    """y, x and each of `columns`, bilinear, for a terrain to lie on an image of out = (rows, columns)."""
+    rows = [bilinear(terrain, c, shape, out) for c in columns]
+    return reduce(lambda a, b: a.join(b, ["y", "x"]), rows)
 
 
 def bilinear(raster: DataFrame, value: str, shape: tuple[int, int], out: tuple[int, int]) -> DataFrame:
@@ -128,8 +186,42 @@ def neighbours(mask: DataFrame) -> DataFrame:
     return mask.join(sums, ["gy", "gx"])
 
 
-def dilated(mask: DataFrame) -> DataFrame:
-    return neighbours(mask).select("gy", "gx", (F.col("ons") > 0).alias("on"))
+def dilated(mask: DataFrame, cross: bool = False) -> DataFrame:
+    """On where one of the 3 by 3 around is, or with `cross` one of the four sides or itself."""
+    if not cross:
+        return neighbours(mask).select("gy", "gx", (F.col("ons") > 0).alias("on"))
+    steps = F.array(*[F.struct((F.col("gy") + i).alias("gy"), (F.col("gx") + j).alias("gx")) for i, j in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
+    reach = mask.where("on").select(F.explode(steps).alias("p")).select("p.*").distinct().withColumn("_on", F.lit(True))
+    return mask.join(reach, ["gy", "gx"], "left").select("gy", "gx", F.coalesce("_on", F.lit(False)).alias("on"))
+
+
+def _thinned_once(mask: DataFrame, second: bool) -> DataFrame:
+    """One of the two halves of a thinning step.  A cell goes if the cells around it are one run, of which two
+    or three count once paired with their neighbours either way, and the half's own sides are free."""
+    around = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]  # from the right, anticlockwise
+    steps = F.array(*[F.struct((F.col("gy") - i).alias("gy"), (F.col("gx") - j).alias("gx"), F.lit(k).alias("k")) for k, (i, j) in enumerate(around)])
+    ons = mask.where("on").select(F.explode(steps).alias("p")).select("p.*").groupBy("gy", "gx")
+    ons = ons.agg(*[F.coalesce(F.bool_or(F.col("k") == k), F.lit(False)).alias(f"_x{k}") for k in range(8)])
+    m = mask.join(ons, ["gy", "gx"], "left")
+    x = [F.coalesce(f"_x{k % 8}", F.lit(False)) for k in range(9)]
+    one = lambda c: c.cast("int")
+    runs = sum((one(~x[2 * k] & (x[2 * k + 1] | x[(2 * k + 2) % 8])) for k in range(4)), F.lit(0))
+    before, after = (sum((one(x[2 * k + a] | x[(2 * k + b) % 8]) for k in range(4)), F.lit(0)) for a, b in ((0, 1), (1, 2)))
+    free = ~((x[5] | x[6] | ~x[3]) & x[4]) if second else ~((x[1] | x[2] | ~x[7]) & x[0])
+    goes = (runs == 1) & F.least(before, after).between(2, 3) & free
+    return m.select("gy", "gx", (F.col("on") & ~goes).alias("on"))
+
+
+def thinned(mask: DataFrame) -> DataFrame:
+    """One step of thinning: cells of the outline go as long as nothing comes apart."""
+    return _thinned_once(_thinned_once(mask, False), True)
+
+
+def processed_mask(mask: DataFrame) -> DataFrame:
+    """A mask's clean-up: closed and thickened, twice, the majority, holes filled, thinned once."""
+    for _ in range(2):
+        mask = dilated(closed(mask), cross=True)
+    return thinned(without_holes(majority(mask)))
 
 
 def eroded(mask: DataFrame) -> DataFrame:
@@ -145,11 +237,8 @@ def majority(mask: DataFrame, least: int = 5) -> DataFrame:
 
 
 def without_holes(mask: DataFrame) -> DataFrame:
-    """The mask with every hole on: cells that are off and not linked, side by side, to the border.  A mask
-    is one grid of bounded size, which one task holds."""
-    import numpy as np
-    import pandas as pd
-
+    """The mask with every hole on: cells that are off and not linked, side by side, to the border.  One task
+    holds the mask, a bit for each cell of its grid; a region of 100,000 km^2 at steps of 30 m has 10^8."""
     def flooded(pdf: pd.DataFrame) -> pd.DataFrame:
         gy, gx = pdf["gy"].to_numpy() - pdf["gy"].min(), pdf["gx"].to_numpy() - pdf["gx"].min()
         off = np.zeros((gy.max() + 3, gx.max() + 3), dtype=bool)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,10 +11,22 @@ from pyspark.sql import functions as F
 def interval_table(d: DataFrame, pairs: DataFrame, points: DataFrame, pixel_size: float = 10.0) -> DataFrame:
     """Displacements of the given points with their pair's dates: u_values and v_values in metres with the
     sign turned, velocities in metres a year with the sign kept.  `pairs`: pair_id, dat1, dat2, years."""
-    rows = d.join(points, ["x", "y"], "left_semi").join(F.broadcast(pairs), "pair_id").where("years > 0")
+    rows = d.join(points, ["x", "y"], "left_semi").join(pairs, "pair_id").where("years > 0")
     return rows.withColumns({f"{c}_values": -F.col(c) * pixel_size for c in ("u", "v")} | {f"{c}_velocity": F.col(c) * pixel_size / F.col("years") for c in ("u", "v")})
 
 
+def interval_grid(d: DataFrame, pairs: DataFrame, points: DataFrame, pixel_size: float = 10.0) -> DataFrame:
+    """A row for each of the points and each pair: what `interval_table` has, or nulls where the pair has no
+    displacement of the point.  Displacements stay and velocities are null where the years aren't above 0.
+    The result has points x pairs rows by what it is."""
+    found = d.join(points, ["x", "y"], "left_semi").groupBy("pair_id", "x", "y").agg(F.max_by(F.struct("u", "v", "pkr", "snr"), "pt_idx").alias("_d")).select("pair_id", "x", "y", "_d.*")
+    rows = points.select("x", "y").distinct().crossJoin(pairs).join(found, ["pair_id", "x", "y"], "left")
+    years = F.when(F.col("years") > 0, F.col("years"))
+    rows = rows.withColumns({f"{c}_values": -F.col(c) * pixel_size for c in ("u", "v")} | {f"{c}_velocity": F.col(c) * pixel_size / years for c in ("u", "v")})
+    here = F.col("u").isNotNull() | F.col("v").isNotNull()
+    return rows.withColumns({c: F.when(here, F.col(c)) for c in pairs.columns if c != "pair_id"})
+
+
 def good(rows: DataFrame, snr: float | None = None, pkr: float | None = None, forward: bool = True, value: str = "v") -> DataFrame:
     """Rows with a value, the quality asked for and (`forward`) a second date after the first."""
     rows = rows.where(F.col(value).isNotNull())
@@ -60,32 +70,40 @@ def daily(rows: DataFrame, snr: float | None = None, pkr: float | None = None) -
     return days.groupBy("point", "at").agg(F.median("v").alias("v"))
 
 
-def merged(u: DataFrame, v: DataFrame) -> DataFrame:
-    """point, date, u_velocity, v_velocity, formatted_date: all dates of either, at month ends."""
-    both = u.select("point", "date", F.col("velocity").alias("u_velocity")).join(v.select("point", "date", F.col("velocity").alias("v_velocity")), ["point", "date"], "full_outer")
+def merged(u: DataFrame, v: DataFrame, smoothed: bool = False) -> DataFrame:
+    """point, date, u_velocity, v_velocity, formatted_date: all dates of either, at month ends.  `smoothed`:
+    their smoothed_velocity where they have one."""
+    of = lambda s: F.col("smoothed_velocity" if smoothed and "smoothed_velocity" in s.columns else "velocity")
+    both = u.select("point", "date", of(u).alias("u_velocity")).join(v.select("point", "date", of(v).alias("v_velocity")), ["point", "date"], "full_outer")
     return both.withColumn("date", F.last_day("date")).withColumn("formatted_date", F.concat(F.lit("D"), F.date_format("date", "yyyyMMdd")))
 
 
 def least_squares(rows: DataFrame, snr: float | None = None, pkr: float | None = None, weight: str | None = None, step_months: int | None = None) -> DataFrame:
     """point, at, v: the amounts per time step (a day, or month ends every `step_months`) whose sums over
     each interval come nearest to what it moved, the least such.  One task solves a point; a point's
-    system has a column for each step between its first and last date."""
+    system has a column for each run of steps that its intervals don't separate: twice as many as intervals
+    at most, however many days they span."""
     freq = "D" if step_months is None else f"{step_months}ME"
 
     def solved(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pd.to_datetime(pdf["d1"]), pd.to_datetime(pdf["d2"])
         steps = pd.date_range(a.min(), b.max(), freq=freq)
-        covers = ((steps.values[None, :] >= a.values[:, None]) & (steps.values[None, :] <= b.values[:, None])).astype(float)
-        moved = pdf["v"].to_numpy() * ((b - a).dt.days.to_numpy() + 1) / 365.25
-        if weight:
-            w = pdf[weight].to_numpy(dtype=float)
-            w = np.where(w > 0, w, 1.0)
-            if (w != 1).any():
-                covers, moved = covers * np.sqrt(w)[:, None], moved * np.sqrt(w)
-        hit = covers.any(axis=1)
+        moved = pdf["v"].to_numpy(dtype=float) * ((b - a).dt.days.to_numpy() + 1) / 365.25
+        first, end = np.searchsorted(steps.values, a.values), np.searchsorted(steps.values, b.values, side="right")
+        hit = end > first
         if not hit.any() or not len(steps):
             return pd.DataFrame({"point": [], "at": [], "v": []})
-        x = np.linalg.lstsq(covers[hit], moved[hit], rcond=None)[0]
+        # Steps that no interval separates have one column, and of the least solution equal parts of its value.
+        cuts = np.unique(np.concatenate([first[hit], end[hit]]))
+        width = np.diff(cuts)
+        covers = ((cuts[None, :-1] >= first[hit, None]) & (cuts[None, 1:] <= end[hit, None])) * np.sqrt(width)
+        moved = moved[hit]
+        if weight:
+            w = pdf[weight].to_numpy(dtype=float)[hit]
+            w = np.sqrt(np.where(w > 0, w, 1.0))
+            covers, moved = covers * w[:, None], moved * w
+        x = np.zeros(len(steps))
+        x[cuts[0] : cuts[-1]] = np.repeat(np.linalg.lstsq(covers, moved, rcond=None)[0] / np.sqrt(width), width)
         return pd.DataFrame({"point": pdf["point"].iloc[0], "at": steps.date, "v": x})
 
     return good(rows, snr, pkr).groupBy("point").applyInPandas(solved, "point long, at date, v double")
@@ -107,34 +125,52 @@ def velocity_series(rows: DataFrame, method: str = "weighted", months: int = 4,
 
 
 def cubic_rmse(series: DataFrame, value: str = "velocity") -> DataFrame:
-    """point, rmse of a cubic in the row's ordinal: null for fewer than 2 values, 0 for 2 to 4."""
-    def fitted(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            out = []
-            for ys in pdf["ys"]:
-                y = np.array([np.nan if v is None else v for v in ys], dtype=float)
-                t = np.flatnonzero(~np.isnan(y)).astype(float)
-                y = y[~np.isnan(y)]
-                if len(y) < 2:
-                    out.append(None)
-                elif len(y) < 5:
-                    out.append(0.0)
-                else:
-                    t = (t - t[0]) / (t[-1] - t[0])
-                    out.append(float(np.sqrt(np.mean((np.polyval(np.polyfit(t, y, 3), t) - y) ** 2))))
-            yield pd.DataFrame({"point": pdf["point"], "rmse": pd.array(out, dtype="Float64")})
-
-    s = series.groupBy("point").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", F.col(value).alias("v")))), lambda x: x["v"]).alias("ys"))
-    return s.mapInPandas(fitted, "point long, rmse double")
-
-
-def wide(series: DataFrame, component: Column, dates: list[str]) -> DataFrame:
-    """One row for each point: pid, median_velocity and a column D... for each of `dates` (yyyyMMdd)."""
+    """point, rmse of a cubic in the row's ordinal: null for fewer than 2 values, 0 for 2 to 4.
+
+    The residual of each power in turn: a power is made orthogonal to the lower ones, and what the values have
+    of it is taken from them.  All sums are windows over one partitioning by point."""
+    at, whole = Window.partitionBy("point").orderBy("date"), Window.partitionBy("point")
+    s = series.select("point", "date", F.col(value).alias("e")).withColumn("i", F.row_number().over(at)).where("e is not null")
+    s = s.withColumns({"n": F.count("*").over(whole), "t": (F.col("i") - F.min("i").over(whole)) / F.nullif(F.max("i").over(whole) - F.min("i").over(whole), F.lit(0))})
+    part = lambda a, b: F.coalesce(F.sum(F.col(a) * F.col(b)).over(whole) / F.nullif(F.sum(F.col(b) * F.col(b)).over(whole), F.lit(0.0)), F.lit(0.0)) * F.col(b)
+    s = s.withColumns({"p0": F.lit(1.0), "e": F.col("e") - F.avg("e").over(whole)})
+    for k in (1, 2, 3):
+        s = s.withColumn(f"p{k}", F.col("t") ** k)
+        for j in range(k):
+            s = s.withColumn(f"p{k}", F.col(f"p{k}") - part(f"p{k}", f"p{j}"))
+        s = s.withColumn("e", F.col("e") - part("e", f"p{k}"))
+    rmse = F.when(F.max("n") > 4, F.sqrt(F.avg(F.col("e") * F.col("e")))).when(F.max("n") > 1, F.lit(0.0))
+    return series.select("point").distinct().join(s.groupBy("point").agg(rmse.alias("rmse")), "point", "left")
+
+
+def half_even(c: Column, digits: int) -> Column:
+    """Rounded half to even, by the first 9 digits: what lies beyond is the noise of sums and makes no tie."""
+    return F.bround(F.round(c, 9), digits)
+
+
+def point_id(point: Column) -> Column:
+    """An id that is the same on every run: OT and 8 characters of the point's digest."""
+    return F.concat(F.lit("OT"), F.upper(F.substring(F.sha2(point.cast("string"), 256), 1, 8)))
+
+
+def wide(series: DataFrame, component: Column, dates: list[str], places: DataFrame | None = None) -> DataFrame:
+    """One row for each point: point, pid, median_velocity, rmse and a column D... for each of `dates`
+    (yyyyMMdd); rounded half to even, to 1, 2 and 1 digits.  With `places` (point, x, y, longitude, latitude)
+    these too."""
     s = series.withColumn("_v", component)
-    pivot = s.groupBy("point").pivot("formatted_date", [f"D{d}" for d in dates]).agg(F.bround(F.first("_v", True), 2))
-    stats = s.groupBy("point").agg(F.bround(F.median("_v"), 1).alias("median_velocity"))
-    pid = F.concat(F.lit("OT"), F.upper(F.substring(F.sha2(F.col("point").cast("string"), 256), 1, 8)))
-    return stats.join(pivot, "point").withColumn("pid", pid)
+    pivot = s.groupBy("point").pivot("formatted_date", [f"D{d}" for d in dates]).agg(half_even(F.first("_v", True), 1))
+    stats = s.groupBy("point").agg(half_even(F.median("_v"), 1).alias("median_velocity"))
+    rmse = cubic_rmse(s, "_v").withColumn("rmse", half_even(F.col("rmse"), 2))
+    out = stats.join(rmse, "point").withColumn("pid", point_id(F.col("point")))
+    out = out if places is None else out.join(places.select("point", "x", "y", "longitude", "latitude"), "point")
+    return out.join(pivot, "point")
+
+
+def mean_speed(we: DataFrame, ns: DataFrame) -> DataFrame:
+    """pid, speed: the mean over time steps of the length of the two components, of the points in both of two
+    long tables pid, date, velocity."""
+    both = we.select("pid", "date", F.col("velocity").alias("_u")).join(ns.select("pid", "date", F.col("velocity").alias("_v")), ["pid", "date"])
+    return both.groupBy("pid").agg(F.avg(F.hypot("_u", "_v")).alias("speed"))
 
 
 def magnitude(u: str = "u_velocity", v: str = "v_velocity") -> Column:
@@ -147,9 +183,13 @@ def fastest(medians: DataFrame, n: int = 10) -> DataFrame:
 
 def multiband(series: DataFrame, points: DataFrame) -> DataFrame:
     """band, date, gy, gx, mag: a band for each date of all points; -9999 where a cell has no value."""
-    dates = series.select("date").distinct()
-    bands = dates.withColumn("band", F.row_number().over(Window.orderBy("date")))  # as many rows as time steps
+    bands = series.select("date").distinct().withColumn("band", F.row_number().over(Window.orderBy("date")))  # as many rows as time steps
     cells = points.select("gy", "gx").distinct()
     mags = series.join(points, "point").groupBy("date", "gy", "gx").agg(F.max(magnitude()).alias("mag"))
-    spread = cells.withColumn("date", F.explode(F.array(*[F.lit(r["date"]) for r in dates.orderBy("date").collect()])))
-    return spread.join(mags, ["date", "gy", "gx"], "left").join(F.broadcast(bands), "date").select("band", "date", "gy", "gx", F.coalesce("mag", F.lit(-9999.0)).alias("mag"))
+    spread = cells.crossJoin(bands)  # the grid of all bands, which is what the result is
+    return spread.join(mags, ["date", "gy", "gx"], "left").select("band", "date", "gy", "gx", F.coalesce("mag", F.lit(-9999.0)).alias("mag"))
+
+
+def largest(bands: DataFrame, first: int = 2, none: tuple[float, ...] = (0.0, -9999.0)) -> DataFrame:
+    """The largest mag of the bands from `first` on, without the values that stand for none."""
+    return bands.where((F.col("band") >= first) & ~F.col("mag").isin(*none)).agg(F.max("mag").alias("mag"))

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.raster import scaled_8bit
+
 METADATA = "Image_ID string, Date string, Cloud_Cover double, Orbit_Number int, Tile_ID string, Status string"
 
 
@@ -30,6 +32,11 @@ def write_pixels(pixels: DataFrame, path: str) -> None:
     pixels.write.mode("overwrite").partitionBy("scene").parquet(path)
 
 
+def write_composite(stack: DataFrame, path: str, keep: list[int] | None = None) -> None:
+    """The scenes kept, each stretched to 8 bits."""
+    write_pixels(scaled_8bit(stack if keep is None else stack.where(F.col("scene").isin(keep))), path)
+
+
 def write_bands(grid: DataFrame, path: str) -> None:
     """A grid for each date, a folder for each."""
     grid.write.mode("overwrite").partitionBy("date").parquet(path)
@@ -50,7 +57,9 @@ def predictions(spark: SparkSession, folder: str, method: str, match: str, compu
     path = f"{folder}/{method}_{match}.parquet"
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # what is there can't be read: not to be hidden by computing it anew
         compute().write.parquet(path)
         return spark.read.parquet(path)
 
