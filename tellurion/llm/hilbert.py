@@ -8,7 +8,7 @@ what the curves find is merged and ranked by the exact measure.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ class HilbertParams:
     curves: int = 6
     dims: int = 3
     bits: int = 10
-    window: float = 0.3
+    window: float = 0.2
     block: int = 2048
 
 
@@ -67,6 +67,33 @@ def _frame(curve: int, dim: int, params: HilbertParams) -> tuple[np.ndarray, np.
     return turn[:, [(curve * params.dims + j) % dim for j in range(params.dims)]], shifts[curve]
 
 
+def lengthened(vectors: pd.Series, longest: float) -> np.ndarray:
+    """Vectors as rows, divided by the longest's length, with a further component that makes each one long."""
+    x = np.array(list(vectors)) / np.sqrt(longest)
+    return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]], axis=1)
+
+
+#: Quantiles that a projection is cut by.
+KNOTS = 256
+
+
+def quantiles(index: DataFrame, longest: float, params: HilbertParams) -> dict[int, list[np.ndarray]]:
+    """By the vectors' dimension, of each curve's projections KNOTS + 1 quantiles over all rows, near enough: cells
+    hold about equally many rows whatever the lengths, so that a few long vectors don't squeeze the others.
+    The driver gets as many numbers for each dimension that vectors have."""
+
+    def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, part in batch.groupby(batch["vec"].map(len)):
+                axes = np.concatenate([_frame(c, dim + 1, params)[0] for c in range(params.curves)], axis=1)
+                yield pd.DataFrame({"dim": dim, "at": list(lengthened(part["vec"], longest) @ axes)})
+
+    rows = index.select("vec").mapInPandas(projected, "dim int, at array<double>")
+    ranks = F.array(*[F.lit(k / KNOTS) for k in range(KNOTS + 1)])
+    of = [F.percentile_approx(F.col("at")[k], ranks, F.lit(4 * KNOTS)).alias(f"a{k}") for k in range(params.curves * params.dims)]
+    return {r["dim"]: [np.array(x) for x in r[1:]] for r in rows.groupBy("dim").agg(*of).collect()}
+
+
 def nearest(embeddings: DataFrame, every: int = 20, top: int = 20, params: HilbertParams = HilbertParams(), key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Of each row whose id is divisible by `every`: query_id, rank, vec_id, score of the `top` rows of
     largest inner product that are found, ties to the smaller id.
@@ -85,21 +112,23 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = 20, params: Hilbe
     longest = index.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 1.0
     blocks = max(1, -(-n // params.block))
     reach = max(0, -(-int(np.ceil(params.window * blocks)) // 2))
+    knots = quantiles(index, longest, params)
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, part in batch.groupby(batch["vec"].map(len)):
-                x = np.array(list(part["vec"])) / np.sqrt(longest)
-                x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]], axis=1)
-                for curve in range(params.curves):
+    def keyed_on(curve: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dim, part in batch.groupby(batch["vec"].map(len)):
                     axes, shift = _frame(curve, dim + 1, params)
-                    # Projections of unit vectors lie mostly within 4 / sqrt(dim) of 0.
-                    place = np.clip((x @ axes) * np.sqrt(dim + 1) / 8 + 0.5, 0, 1)
+                    at = lengthened(part["vec"], longest) @ axes
+                    ranks = np.linspace(0, 1, KNOTS + 1)
+                    place = np.stack([np.interp(at[:, j], knots[dim][curve * params.dims + j], ranks) for j in range(params.dims)], axis=1)
                     cells = ((place + shift) / 2 * ((1 << params.bits) - 1)).astype(np.int64)
-                    yield part.assign(curve=curve, dim=dim, place=hilbert_keys(cells, params.bits))[["curve", "dim", "place", "vec", "ids", "qkey"]]
+                    yield part.assign(dim=dim, place=hilbert_keys(cells, params.bits))[["dim", "place", "vec", "ids", "qkey"]]
+
+        return keyed
 
-    shape = "curve int, dim int, place long, vec array<double>, ids array<long>, qkey long"
-    spread = index.withColumn("qkey", F.coalesce("qkey", F.lit(-(1 << 62)))).mapInPandas(keyed, shape)
+    shape = "dim int, place long, vec array<double>, ids array<long>, qkey long"
+    index = index.withColumn("qkey", F.coalesce("qkey", F.lit(-(1 << 62))))
 
     def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = TaskContext.get().partitionId()
@@ -119,7 +148,7 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = 20, params: Hilbe
 
     found = None
     for curve in range(params.curves):
-        dealt = spread.where(F.col("curve") == curve).repartitionByRange(blocks, "place", "ids").sortWithinPartitions("place", "ids")
+        dealt = index.mapInPandas(keyed_on(curve), shape).repartitionByRange(blocks, "place", "ids").sortWithinPartitions("place", "ids")
         curve_blocks = written(dealt.mapInPandas(blocked, "at int, qkeys binary, qvectors binary, " + PACKED), f"curve-{curve}")
         last = curve_blocks.agg(F.max("at")).first()[0]
         if last is None:

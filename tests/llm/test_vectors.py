@@ -71,6 +71,16 @@ def test_hilbert_recall(spark, rows):
     assert all(abs(s - exact[q] @ exact[i]) < 1e-9 for q, v in got.items() for i, s in v)
 
 
+def test_hilbert_recall_with_very_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * (1000 if i % 400 == 3 else 1)).tolist()) for i in range(1200)]
+    rows += [(2000 + i, [0.25] * 8) for i in range(200)]
+    got = found(hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), params=hilbert.HilbertParams(block=64)))
+    want = brute(rows)
+    hit = sum(len({s for _, s in got[q]} & {s for _, s in want[q]}) for q in want)
+    assert set(got) == set(want) and hit >= 0.9 * sum(len({s for _, s in v}) for v in want.values())
+
+
 def test_empty(spark, rows):
     none = spark.createDataFrame([], SHAPE)
     assert mtree.exact_top(none).count() == 0 and hilbert.nearest(none).count() == 0
