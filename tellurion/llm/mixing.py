@@ -155,6 +155,14 @@ def _prefix(rows: DataFrame, keys: list[str], quota: str, more: str, left: str)
     return rows.join(slices, on).withColumn(more, taken).drop(*[f"{k}_" for k in [*keys, "_slice"]], "_start", "_before")
 
 
+def _with_source(rows: DataFrame, per: DataFrame, how: str = "inner", ways: int = 16) -> DataFrame:
+    """`rows` with what `per` has of their source (_s).  A source's rows are dealt to `ways` keys, so that one
+    which holds a large share of all isn't one task."""
+    dealt = rows.withColumn("_way", F.pmod(F.col("_hash"), F.lit(ways)).cast("int"))
+    repeated = per.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return dealt.join(repeated, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_way") == F.col("_to")), how).drop("_s", "_way", "_to")
+
+
 def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """A row for all rows of `docs` that are equal in source, key, size and the columns of `carry`: these, as
     `_source`, `_key`, `size` and `carry` (a struct); rows (how many), copies (of each), more (how many of them
@@ -175,7 +183,7 @@ def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text", key:
     per = source_targets(cells, "_source").join(words, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     per = balanced(per)
 
-    thin = thin.join(per.select(F.col("source").alias("_s"), "source_size", "target", "rates"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    thin = _with_source(thin, per.select(F.col("source").alias("_s"), "source_size", "target", "rates"))
     thin = thin.withColumn("_rate", F.element_at("rates", F.col("_band") + 1)).drop("rates")
     thin = thin.withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("_rate") + 1e-9)).otherwise(0).cast("long"))
     thin = thin.join(cells.select(F.col("_source").alias("_s"), F.col("_band").alias("_b"), F.col("size").alias("_words")), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_band") == F.col("_b"))).drop("_s", "_b")
@@ -187,17 +195,14 @@ def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text", key:
         got = thin.groupBy(F.col("_source").alias("_s")).agg((F.first("target") - F.sum(F.col("size") * took)).alias(name))
         return got.withColumn(name, F.coalesce(name, F.lit(0.0)))
 
-    def with_missing(rows: DataFrame, got: DataFrame) -> DataFrame:
-        return rows.join(got, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-
     spare = F.when((F.col("copies") < LIMIT) & (F.col("size") > 0), F.col("rows") - F.col("_first")).otherwise(0)
-    thin = with_missing(thin, missing(F.col("copies") * F.col("rows") + F.col("_first"), "_lack")).withColumn("_spare", spare)
+    thin = _with_source(thin, missing(F.col("copies") * F.col("rows") + F.col("_first"), "_lack")).withColumn("_spare", spare)
     thin = written(_prefix(thin, ["_source"], "_lack", "_second", "_spare").drop("_lack"), "mix-second")
-    thin = with_missing(thin, missing(F.col("copies") * F.col("rows") + F.col("_first") + F.col("_second"), "_lack"))
+    thin = _with_source(thin, missing(F.col("copies") * F.col("rows") + F.col("_first") + F.col("_second"), "_lack"))
     miss = F.abs(F.col("size") - F.col("_lack"))
     last = thin.where((F.col("_spare") > F.col("_second")) & (miss < F.col("_lack"))).groupBy(F.col("_source").alias("_s"))
     last = last.agg(F.min(F.struct(miss.alias("miss"), "_hash", "_key", "size")).alias("_last"))
-    thin = thin.join(last, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    thin = _with_source(thin, last, "left")
     is_last = (F.col("_last._hash") == F.col("_hash")) & F.col("_last._key").eqNullSafe(F.col("_key")) & (F.col("_last.size") == F.col("size"))
     more = F.col("_first") + F.col("_second") + F.coalesce(is_last, F.lit(False)).cast("long")
     out = thin.select("_source", "_key", "size", "_hash", "rows", "copies", more.alias("more"), F.col("source_size").cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
