@@ -30,3 +30,15 @@ def utm_lon_lat(east: Column, north: Column, zone: int, southern: bool = False,
         lat = lat + d * F.sin(2 * k * chi)
     lon = F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (6 * zone - 183)
     return F.bround(lon, digits), F.bround(F.degrees(lat), digits)
+
+
+def lon_lat(x: Column, y: Column, affine: tuple[float, float, float, float, float, float], epsg: int, digits: int = 6) -> tuple[Column, Column]:
+    """Longitude and latitude of the middle of a pixel of a raster in degrees (EPSG 4326) or in a UTM zone of
+    WGS 84 (326.. north, 327.. south)."""
+    a, b, c, d, e, f = affine
+    east, north = a * (x + 0.5) + b * (y + 0.5) + c, d * (x + 0.5) + e * (y + 0.5) + f
+    if epsg == 4326:
+        return F.bround(east, digits), F.bround(north, digits)
+    if epsg // 100 not in (326, 327):
+        raise ValueError(f"EPSG {epsg} is not supported")
+    return utm_lon_lat(east, north, epsg % 100, epsg // 100 == 327, digits)

@@ -143,3 +143,128 @@ def test_files(spark, tmp_path):
     for _ in range(2):
         got = files.predictions(spark, str(tmp_path), "block", "ncc", lambda: calls.append(1) or w)
     assert got.count() == 1 and calls == [1]
+
+
+def test_corrupt_predictions_are_not_computed_anew(spark, tmp_path):
+    from tellurion.sources import files
+
+    (tmp_path / "block_ncc.parquet").mkdir()
+    (tmp_path / "block_ncc.parquet" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|infer|schema"):
+        files.predictions(spark, str(tmp_path), "block", "ncc", lambda: spark.range(1)).count()
+
+
+@pytest.mark.parametrize("kind, nodata", [("uint8", 0), ("int16", -1), ("float32", None), ("float64", -9999.0)])
+def test_geotiff_round_trip(kind, nodata):
+    from tellurion.sources import geotiff
+
+    bands = (np.random.default_rng(1).random((3, 70, 41)) * 100).astype(kind)
+    for affine in ((10.0, 0.0, 5e5, 0.0, -10.0, 4.6e6), (1.0, 0.5, 2.0, 0.25, -1.0, 3.0)):
+        got = geotiff.decode(geotiff.encode(geotiff.Raster(bands, affine, 32632, nodata), rows=16))
+        assert (got.bands == bands).all() and got.bands.dtype == bands.dtype
+        assert (got.affine, got.epsg, got.nodata) == (affine, 32632, nodata)
+
+
+def test_geotiff_files(spark, tmp_path):
+    from tellurion.sources import geotiff
+
+    px = [(b, y, x, float(100 * b + 10 * y + x)) for b in (1, 2) for y in range(4) for x in range(5) if (b, y, x) != (2, 3, 4)]
+    path, affine = f"{tmp_path}/r.tif", (10.0, 0.0, 5e5, 0.0, -10.0, 4.6e6)
+    geotiff.write_geotiff(spark.createDataFrame(px, "band int, y int, x int, v double"), path, (4, 5), affine, 32632, -9999.0)
+    assert geotiff.read_affine(spark, path) == (affine, 32632, (4, 5))
+    got = {(r.scene + 1, r.y, r.x): r.v for r in geotiff.read_stack(spark, path).collect()}
+    assert got.pop((2, 3, 4)) is None and got == {p[:3]: p[3] for p in px}
+    with pytest.raises(ValueError):
+        geotiff.write_geotiff(spark.createDataFrame(px, "band int, y int, x int, v double"), path, (10**5, 10**5))
+
+
+def _smooth(rng, n):
+    k = np.fft.fftfreq(n)
+    return np.real(np.fft.ifft2(np.fft.fft2(rng.random((n, n))) * np.exp(-(k[:, None] ** 2 + k[None] ** 2) * 80))) * 255
+
+
+def _moved(image, dy, dx):
+    k = np.fft.fftfreq(len(image))
+    return np.real(np.fft.ifft2(np.fft.fft2(image) * np.exp(-2j * np.pi * (k[:, None] * dy + k[None] * dx))))
+
+
+def test_flow_finds_a_known_shift():
+    from tellurion.operators import flow
+
+    a = _smooth(np.random.default_rng(3), 64)
+    for dy, dx in ((0.0, 0.0), (0.4, -0.7), (2.0, 3.0)):
+        d = flow.flow_between(a, _moved(a, dy, dx))[:, 12:-12, 12:-12]
+        assert abs(np.median(d[0]) - dx) < 0.1 and abs(np.median(d[1]) - dy) < 0.1
+
+
+@pytest.mark.parametrize("method, near", [("parabolic", 0.2), ("center_of_mass", 0.5), ("upsampled", 0.11)])
+def test_sub_pixel_methods_near_a_known_shift(spark, method, near):
+    a = _smooth(np.random.default_rng(4), 16)
+    b = _moved(a, 1.3, -0.4)
+    df = spark.createDataFrame([(0, a.ravel().tolist(), b.ravel().tolist())], "block_id long, a array<double>, b array<double>")
+    r = (matching.matched(df, 16, "upsampled") if method == "upsampled" else matching.matched(df, 16, "ncc", method)).first()
+    assert abs(r.u + 0.4) < near and abs(r.v - 1.3) < near
+
+
+def test_correlation_by_transform_is_that_by_expression(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.random(16).tolist(), rng.random(16).tolist()) for i in range(5)] + [(9, [1.0] * 16, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "block_id long, a array<double>, b array<double>")
+    one, two = ({r.block_id: r.c for r in f(df, 4).collect()} for f in (matching.ncc_by_expression, matching.ncc_by_transform))
+    assert all(np.allclose(one[i], two[i]) for i in range(5)) and two[9] is None and set(one[9]) == {None}
+
+
+def test_track_dispatches(spark):
+    a = _smooth(np.random.default_rng(6), 24)
+    images = [a, _moved(a, 1.0, 2.0)]
+    stack = spark.createDataFrame([(s, y, x, float(images[s][y, x])) for s in (0, 1) for y in range(24) for x in range(24)], "scene long, y int, x int, v double")
+    pairs_of = spark.createDataFrame([(5, 0, 1), (6, 0, 9)], "pair_id long, idx1 long, idx2 long")
+    got = matching.track(stack, pairs_of, (24, 24), block=12, overlap=0.5, by="pcc", subpixel="none").collect()
+    assert len(got) == 9 and {r.pair_id for r in got} == {5} and sorted(r.pt_idx for r in got) == list(range(9))
+    custom = matching.track(stack, pairs_of, (24, 24), block=12, overlap=0.5, by=lambda p, q: (1.0, 2.0, None, 3.0), filters=lambda d: d.where("x = 6")).collect()
+    assert {(r.x, r.u, r.v, r.pkr, r.snr) for r in custom} == {(6, -1.0, -2.0, None, 3.0)} and len(custom) == 3
+    flow = matching.track(stack, pairs_of, (24, 24), method="optical_flow").collect()
+    assert len(flow) == 576 and {r.pair_id for r in flow} == {5}
+    for wrong in ({"method": "guess"}, {"by": "guess"}):
+        with pytest.raises(ValueError):
+            matching.track(stack, pairs_of, (24, 24), **wrong)
+
+
+def test_windows_over_ranges_are_those_over_pairs(spark, monkeypatch):
+    from tellurion.functions import arrays
+
+    rng = np.random.default_rng(7)
+    rows = [(p, i, *rng.normal(size=2).tolist()) for p in (0, 1) for i in range(97)]
+    d = displacement.begin(spark.createDataFrame(rows, "pair_id int, pt_idx int, u double, v double"))
+    f = spark.createDataFrame([(i, 0, (0, i), *rng.normal(size=3).tolist()) for i in range(97)], "x int, y int, ord struct<pair_id:int,pt_idx:int>, ang double, u double, mag double")
+    runs = [lambda: displacement.median_smoothed(d), lambda: displacement.by_neighbours(d, 1.0), lambda: displacement.by_angle(d, 60.0), lambda: field.coherent(f, 60.0).drop("ord")]
+    rows_of = lambda: [sorted(map(tuple, run().collect())) for run in runs]
+    whole = rows_of()
+    for module in (arrays, field):
+        monkeypatch.setattr(module, "RANGE", 10)
+    assert rows_of() == whole
+
+
+def test_least_squares_is_that_of_days(spark):
+    rng = np.random.default_rng(8)
+    first = D(2020, 1, 1)
+    rows = [(1, first + dt.timedelta(int(a)), first + dt.timedelta(int(a + n)), float(v)) for a, n, v in zip(rng.integers(0, 60, 9), rng.integers(5, 40, 9), rng.normal(size=9), strict=True)]
+    got = [r.v for r in velocity.least_squares(spark.createDataFrame(rows, "point long, d1 date, d2 date, v double")).orderBy("at").collect()]
+    low, high = min(r[1] for r in rows), max(r[2] for r in rows)
+    days = [low + dt.timedelta(k) for k in range((high - low).days + 1)]
+    cover = np.array([[r[1] <= x <= r[2] for x in days] for r in rows], dtype=float)
+    want = np.linalg.lstsq(cover, np.array([r[3] * ((r[2] - r[1]).days + 1) / 365.25 for r in rows]), rcond=None)[0]
+    assert np.allclose(got, want)
+
+
+def test_thinning_keeps_lines_and_wears_blobs(spark):
+    cells = [(y, x, y == 4 or (5 <= y <= 8 and 2 <= x <= 6)) for y in range(10) for x in range(9)]
+    got = {(r.gy, r.gx) for r in raster.thinned(spark.createDataFrame(cells, "gy int, gx int, on boolean")).where("on").collect()}
+    assert {(4, 0), (4, 8)} <= got and (8, 2) not in got and (6, 4) in got
+
+
+def test_map_filters_may_stop_early(spark):
+    f = spark.createDataFrame([(1, 1, (0, 0), 1.0, 0.0, 9.0, 0.0), (2, 2, (0, 1), 1.0, 0.0, 1.0, 0.0)], "x int, y int, ord struct<pair_id:int,pt_idx:int>, u double, v double, mag double, ang double")
+    none = spark.createDataFrame([], "y int, x int, slope double, aspect double")
+    assert field.final_map(f, none, threshold=5, stop_early=True).count() == 1
+    assert field.final_map(f, none, threshold=5).count() == 0
