@@ -108,7 +108,9 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, params: PackP
     many of them count; cu_seqlens: where its pieces begin, and the end; positions: for each id its place
     in its piece, from 0 anew for every piece; doc_ids and offsets: whose ids a piece holds and from which
     of the document's ids on.  A null or empty text is its end id alone.  Rows with the same doc_id stay
-    separate pieces.  Null doc_ids are kept as null.  pack_id is unique within a result."""
+    separate pieces.  Null doc_ids are kept as null.  pack_id is unique within a result.  A document longer than
+    `chunk` makes a longer chunk of its own and is split over its rows like any; nothing is cut off.  Other
+    columns take no part."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))  # a vocabulary of a fixed size
@@ -147,7 +149,8 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """The documents' ids again: doc_id and ids (array of int, without the end id), for doc_ids of their own."""
+    """The documents' ids again: doc_id and ids (array of int, without the end id), for doc_ids of their own:
+    pieces of rows with one doc_id come out behind one another."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -248,7 +248,8 @@ def load_tables(model_path: str) -> PieceTables:
 
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """Adds `ids` (array of int, the end id last) to every row of `docs`.  Null texts count as empty."""
+    """Adds `ids` (array of int, the end id last) to every row of `docs`.  Null texts count as empty.
+    A column of that name is replaced."""
     tables = docs.sparkSession.sparkContext.broadcast(load_tables(model_path))
 
     @F.pandas_udf("array<int>")
@@ -261,7 +262,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
-    """Adds `decoded` (string) to every row of `docs`; null ids give null."""
+    """Adds `decoded` (string) to every row of `docs`; null ids give null.  A column of that name is replaced."""
     tables = docs.sparkSession.sparkContext.broadcast(load_tables(model_path))
 
     @F.pandas_udf("string")

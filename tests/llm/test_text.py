@@ -86,6 +86,30 @@ def test_toxicity(spark, edge):
     toxicity.fit_toxicity(d.limit(0), labels)
 
 
+def test_ordinal_fit_is_the_least_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n, words = 200, list("abcd")
+    x = rng.poisson(0.7, size=(n, 4))
+    grades = np.digitize(x @ [1.0, 0.5, -0.5, 0.0] + rng.logistic(size=n), [0.5, 2.0])
+    cols = [np.flatnonzero(r) for r in x]
+    vals = [(1 + np.log(r[r > 0])).astype(np.float32) for r in x]
+    params = toxicity.ToxicityParams()
+    model = toxicity.refit_ordinal(cols, vals, words, grades, 3, params)
+    dense = np.zeros((n, 4))
+    for k, (c, v) in enumerate(zip(cols, vals, strict=True)):
+        dense[k, c] = v
+
+    def loss(b):
+        z = dense @ b[:4]
+        return sum(np.where(grades > k, np.logaddexp(0, b[4 + k] - z), np.logaddexp(0, z - b[4 + k])).sum() for k in (0, 1)) + params.ridge / 2 * (b[:4] ** 2).sum()
+
+    at = np.array([model.weights[w] for w in words] + model.thresholds)
+    for step in [*np.eye(6) * 0.02, *rng.normal(size=(50, 6)) * 0.02]:
+        assert loss(at) <= loss(at + step) + 1e-4 and loss(at) <= loss(at - step) + 1e-4
+
+
 def brute_classes(texts, weights, params):
     parent = {i: i for i in texts}
 
@@ -167,6 +191,60 @@ def test_blocks_join_what_brute_force_joins():
         assert a < 30 <= b and neardup.similar(held[a], held[b], params.similarity)
 
 
+def test_near_duplicates_of_a_hot_group(spark):
+    """Over a thousand near copies of one text, some a little too far from most, others further still, and chains."""
+    import numpy as np
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, texts = [word() for _ in range(100)], []
+
+    def changed(words, n):
+        w = list(words)
+        for k in rng.sample(range(len(w)), n):
+            w[k] = word()
+        return w
+
+    texts += [changed(base, rng.choice([0, 1, 1, 2])) for _ in range(1200)]
+    texts += [changed(base, rng.choice([3, 4, 5])) for _ in range(120)]
+    for _ in range(4):
+        link = changed(base, 12)
+        for _ in range(25):
+            texts.append(link := changed(link, 1))
+    texts = [" ".join(w) for w in texts]
+    params = neardup.NearDupParams(block=32)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = neardup.Weights(*neardup.document_frequencies(d, params))
+    held = [weights.of(t, params.words) for t in texts]
+    every, at = np.unique(np.concatenate([f for f, _, _ in held]), return_inverse=True)
+    rows = np.repeat(np.arange(len(held)), [len(f) for f, _, _ in held])
+    assert max(tf.max() for _, tf, _ in held) == 1
+    m = np.zeros((len(held), len(every)), dtype=np.float32)
+    m[rows, at] = np.sqrt(np.concatenate([w for _, _, w in held]))
+    low, total = m @ m.T, np.array([w.sum() for _, _, w in held])
+    near = low / (total[:, None] + total[None] - low) >= params.similarity - 1e-6
+    want = np.arange(len(held))
+    while True:
+        least = np.where(near, want[None], len(held)).min(axis=1)
+        if (least == want).all():
+            break
+        want = least
+    assert 10 < len(set(want.tolist())) < 200
+    got = {r.doc_id: r["class"] for r in neardup.near_duplicates(d, params).collect()}
+    assert [got[i] for i in range(len(held))] == want.tolist()
+
+
+def test_texts_of_one_id_and_clashing_columns(spark):
+    words = [str(k) for k in range(90)]
+    a, b, c = " ".join(words[:60]), " ".join(words[30:]), " ".join(words[:59])
+    rows = [(5, a), (5, b), (9, b), (7, c), (None, a), (1, None), (5, a)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as class", "3 as t", "4 as copies", "5 as samples")
+    got = sorted((str(r.doc_id), str(r["class"])) for r in neardup.near_duplicates(d).collect())
+    assert got == sorted([("5", "5"), ("5", "5"), ("5", "5"), ("9", "5"), ("7", "5"), ("None", "None"), ("1", "1")])
+    kept = neardup.keep_one(d).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == sorted([("5", a), ("None", a)]) and len(kept) == 3
+
+
 def test_near_duplicates_edges(spark, edge):
     rows = neardup.near_duplicates(edge).collect()
     assert sorted((str(r.doc_id), str(r["class"])) for r in rows) == sorted((str(i), str(i)) for i, *_ in EDGE)
@@ -187,7 +265,7 @@ def test_sampling_estimates_similarity():
     assert abs(agree - low / (2 * w.sum() - low)) < 0.04
 
 
-def test_packing(spark, docs, edge):
+def test_packing(spark, docs, edge, tmp_path):
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -196,6 +274,9 @@ def test_packing(spark, docs, edge):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=packing.load_ranks(path), special_tokens={})
     back = {r.doc_id: list(r.ids) for r in packing.unpack(rows).collect()}
     assert back == {r.doc_id: enc.encode_ordinary(r.text) for r in docs.collect()}
+    packing.write_packed(rows, f"{tmp_path}/packed")
+    again = spark.read.parquet(f"{tmp_path}/packed")
+    assert {r.doc_id: list(r.ids) for r in packing.unpack(again).collect()} == back
     for r in rows.collect():
         assert len(r.ids) == 2 * params.row and r.cu_seqlens[-1] == r.n_tokens <= params.row
         places = [x for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False) for x in range(b - a)]
