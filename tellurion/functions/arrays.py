@@ -22,6 +22,14 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """`rows` with further columns that the optimizer doesn't repeat wherever they are used, in filters too:
+    a generator of one row stands between them and what follows.  For expressions over whole arrays."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select("*", one.alias("_once")).select(*kept, *[F.col("_once")[n].alias(n) for n in columns])
+
+
 #: Rows of a window's key at most, but for the few that reach over from its neighbours.
 RANGE = 65536
 

@@ -77,9 +77,9 @@ def by_angle(d: DataFrame, threshold: float = 30.0, sigma: float = 1.0) -> DataF
     return still(d, F.degrees(F.abs(F.atan2(F.sin("_off"), F.cos("_off")))) <= threshold).drop("_v", "_n", "_f", "_a", "_off", "_range", "_own")
 
 
-def without_median(d: DataFrame) -> DataFrame:
-    """The valid rows' median taken from all rows."""
-    d = with_pair(d, _mu=F.median(kept("u")), _mv=F.median(kept("v")))
+def without_median(d: DataFrame, **more: Column) -> DataFrame:
+    """The valid rows' median taken from all rows; with `more` sums over each pair as columns."""
+    d = with_pair(d, _mu=F.median(kept("u")), _mv=F.median(kept("v")), **more)
     return d.withColumns({c: F.col(c) - F.col(f"_m{c}") for c in ("u", "v")}).drop("_mu", "_mv")
 
 
@@ -106,8 +106,10 @@ def median_smoothed(d: DataFrame, size: int = 5) -> DataFrame:
 
 def by_quality(d: DataFrame, name: str, threshold: float) -> DataFrame:
     """pkr or snr at least `threshold`; no filter in a pair that has none at all."""
-    d = with_pair(d, _some=F.count(name))
-    return still(d, (F.col("_some") == 0) | (F.col(name) >= threshold)).drop("_some")
+    some = f"_some_{name}"
+    if some not in d.columns:
+        d = with_pair(d, **{some: F.count(name)})
+    return still(d, (F.col(some) == 0) | (F.col(name) >= threshold)).drop(some)
 
 
 def end(d: DataFrame) -> DataFrame:
@@ -121,8 +123,9 @@ def filter_pairs(d: DataFrame, *, least: float = 0.0, most: float = math.inf, de
         d = by_deviation(d, deviation)
     if angle is not None:
         d = by_angle(d, angle)
+    counts = {f"_some_{name}": F.count(name) for name, t in (("pkr", pkr), ("snr", snr)) if t is not None}
     if subtract:
-        d = without_median(d)
+        d = without_median(d, **counts)
     if erratic is not None:
         d = by_neighbours(d, erratic)
     if smooth is not None:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import computed_once
 from . import flow
 from .displacement import filter_pairs
 from .raster import stride
@@ -58,7 +59,8 @@ def ncc_by_expression(blocks: DataFrame, size: int) -> DataFrame:
     at = lambda s, p, off: F.pmod(F.floor(p / size) + F.floor(s / size) - off, F.lit(size)) * size + F.pmod(p % size + s % size - off, F.lit(size))
     shift = lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda t, p: t + F.get("_a", at(s, p, half).cast("int")) * F.get("_b", p))
     scale = F.nullif(norm(F.col("_a")) * norm(F.col("_b")) * n, F.lit(0.0))
-    return b.withColumn("_k", scale).withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: shift(s) / F.col("_k"))).drop("_a", "_b", "_k")
+    b = computed_once(b, _a=F.col("_a"), _b=F.col("_b"), _k=scale)
+    return computed_once(b, c=F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: shift(s) / F.col("_k"))).drop("_a", "_b", "_k")
 
 
 def peaks(surfaces: DataFrame, size: int) -> DataFrame:
@@ -69,7 +71,8 @@ def peaks(surfaces: DataFrame, size: int) -> DataFrame:
     mean = F.aggregate("c", F.lit(0.0), lambda t, x: t + F.abs(x)) / (size * size)
     others = F.filter("c", lambda x, k: (F.abs(F.floor(k / size) - F.col("i")) > 1) | (F.abs(k % size - F.col("j")) > 1))
     s = s.withColumns({"snr": top / (mean + 1e-10), "pkr": top / (F.array_max(others) + 1e-10)})
-    return s.withColumns({"dy": F.col("i") - size // 2, "dx": F.col("j") - size // 2}).withColumns({"u": -F.col("dx"), "v": -F.col("dy")}).drop("_p")
+    s = computed_once(s, **{c: F.col(c) for c in ("i", "j", "snr", "pkr")}).drop("_p")
+    return s.withColumns({"dy": F.col("i") - size // 2, "dx": F.col("j") - size // 2}).withColumns({"u": -F.col("dx"), "v": -F.col("dy")})
 
 
 def _at(i: Column, j: Column, size: int) -> Column:
@@ -219,7 +222,10 @@ def track(stack: DataFrame, pairs: DataFrame, shape: tuple[int, int], method: st
     """Displacements of all pairs (pair_id, idx1, idx2) of scenes of a stack (scene, y, x, v): pair_id, pt_idx,
     x, y, u, v, pkr, snr.  `method`: block_matching, or optical_flow for every pixel.  `filters`: what
     filter_pairs takes, or a function from DataFrame to DataFrame.  Pairs whose scenes aren't in the stack
-    give no rows."""
+    give no rows.
+
+    Filters read what is matched twice, for a pair's statistics and for its rows: where matching is dear, store
+    it first (sources.files.predictions) and filter what is stored."""
     if method == "block_matching":
         step, (height, width) = stride(block, overlap), shape
         blocks = pair_blocks(cut_blocks(stack, block, step, height, width), pairs, (width - block) // step + 1)
