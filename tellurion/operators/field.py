@@ -93,7 +93,3 @@ def final_map(field: DataFrame, terrain: DataFrame, *, threshold: float | None =
 def within(a: DataFrame, b: DataFrame) -> DataFrame:
     """The points that both have."""
     return a.select("x", "y").intersect(b.select("x", "y"))
-
-
-def angle_difference(a: Column, b: Column) -> Column:
-    return turned(a - b)

@@ -268,3 +268,35 @@ def test_map_filters_may_stop_early(spark):
     none = spark.createDataFrame([], "y int, x int, slope double, aspect double")
     assert field.final_map(f, none, threshold=5, stop_early=True).count() == 1
     assert field.final_map(f, none, threshold=5).count() == 0
+
+
+def test_composites_bands_and_grid_places(spark, tmp_path):
+    from tellurion.sources import files
+
+    stack = spark.createDataFrame([(s, y, 0, float(s + 2 * y)) for s in (0, 1, 2) for y in (0, 1)], "scene long, y int, x int, v double")
+    files.write_composite(stack, f"{tmp_path}/c", [0, 2])
+    assert sorted((r.scene, r.y, r.v) for r in spark.read.parquet(f"{tmp_path}/c").collect()) == [(0, 0, 0), (0, 1, 255), (2, 0, 0), (2, 1, 255)]
+    grid = spark.createDataFrame([("2020-01-31", 0, 0, 1.5)], "date string, gy int, gx int, mag double")
+    files.write_bands(grid, f"{tmp_path}/b")
+    assert [r.mag for r in spark.read.parquet(f"{tmp_path}/b").collect()] == [1.5]
+    stretched, shifted = files.grid_affines((10.0, 0.0, 100.0, 0.0, -10.0, 500.0), (40, 60), (8, 12), 16, 4)
+    assert stretched == (50.0, 0.0, 100.0, 0.0, -50.0, 500.0) and shifted == (40.0, 0.0, 180.0, 0.0, -40.0, 420.0)
+    assert files.to_ground(0, 0, (10.0, 0.0, 100.0, 0.0, -10.0, 500.0)) == (105.0, 495.0)
+
+
+def test_pairs_are_numbered_by_date(spark):
+    rows = spark.createDataFrame([(D(2001, 1, 1), D(2003, 1, 1)), (D(2000, 1, 1), D(2004, 1, 1)), (D(2000, 1, 1), D(2002, 1, 1))], "dat1 date, dat2 date")
+    got = {(r.dat1, r.dat2): r.pair_id for r in pairs.numbered(rows).collect()}
+    assert [got[k] for k in sorted(got)] == [0, 1, 2]
+
+
+def test_positions_by_code(spark):
+    from pyspark.sql import functions as F
+    from tellurion.functions import geo
+
+    d = spark.createDataFrame([(0, 0)], "x int, y int")
+    at = lambda *a: tuple(d.select(*geo.lon_lat(F.col("x"), F.col("y"), *a)).first())
+    assert at((0.5, 0.0, 10.0, 0.0, -0.5, 46.0), 4326) == (10.25, 45.75)
+    assert at((10.0, 0.0, 499995.0, 0.0, -10.0, 5.0), 32632) == (9.0, 0.0) == at((10.0, 0.0, 499995.0, 0.0, -10.0, 1e7 + 5), 32732)
+    with pytest.raises(ValueError):
+        at((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 3035)
