@@ -168,7 +168,8 @@ def bilinear(raster: DataFrame, value: str, shape: tuple[int, int], out: tuple[i
     corner = [F.struct(clamped(F.col("y0") + i, F.lit(shape[0])).alias("sy"), clamped(F.col("x0") + j, F.lit(shape[1])).alias("sx"), ((1 - F.abs(F.col("fy") - F.col("y0") - i)) * (1 - F.abs(F.col("fx") - F.col("x0") - j))).alias("w")) for i in (0, 1) for j in (0, 1)]
     four = px.select("y", "x", F.explode(F.array(*corner)).alias("c")).select("y", "x", "c.*")
     source = raster.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("_v"))
-    return four.join(source, ["sy", "sx"]).groupBy("y", "x").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
+    # Spark takes an exploded table to be as small as it was before, and would send all pixels to the driver.
+    return four.join(source.hint("merge"), ["sy", "sx"]).groupBy("y", "x").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
 
 
 def upsampled(grid: DataFrame, value: str, shape: tuple[int, int], out: tuple[int, int]) -> DataFrame:

@@ -300,3 +300,12 @@ def test_positions_by_code(spark):
     assert at((10.0, 0.0, 499995.0, 0.0, -10.0, 5.0), 32632) == (9.0, 0.0) == at((10.0, 0.0, 499995.0, 0.0, -10.0, 1e7 + 5), 32732)
     with pytest.raises(ValueError):
         at((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 3035)
+
+
+def test_bilinear_sends_no_pixels_to_the_driver(spark):
+    tall = spark.createDataFrame([(0, 0, 1.0), (23999, 49, 2.0)], "y int, x int, dem double")
+    plan = raster.bilinear(tall, "dem", (24000, 50), (36000, 75))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    square = spark.createDataFrame([(0, 0, 0.0), (0, 1, 2.0), (1, 0, 4.0), (1, 1, 6.0)], "y int, x int, dem double")
+    got = {(r.y, r.x): r.dem for r in raster.bilinear(square, "dem", (2, 2), (3, 3)).collect()}
+    assert got == {(y, x): 2.0 * y + x for y in range(3) for x in range(3)}
