@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -153,23 +152,23 @@ def shape_of(raster: DataFrame) -> tuple[int, int]:
 
 
 def resampled_terrain(terrain: DataFrame, shape: tuple[int, int], out: tuple[int, int], columns: tuple[str, ...] = ("dem", "slope", "aspect")) -> DataFrame:
-    """y, x and each of `columns`, bilinear, for a terrain to lie on an image of out = (rows, columns)."""
-    rows = [bilinear(terrain, c, shape, out) for c in columns]
-    return reduce(lambda a, b: a.join(b, ["y", "x"]), rows)
-
-
-def bilinear(raster: DataFrame, value: str, shape: tuple[int, int], out: tuple[int, int]) -> DataFrame:
-    """`value` resampled to out = (rows, columns), corners on corners."""
-    spark = raster.sparkSession
+    """y, x and each of `columns`, bilinear, for a terrain to lie on an image of out = (rows, columns): corners
+    on corners."""
+    spark = terrain.sparkSession
     px = spark.range(out[0]).select(F.col("id").cast("int").alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(out[1] - 1))))
     place = lambda c, n, m: F.col(c) * ((n - 1) / max(1, m - 1))
     px = px.withColumns({"fy": place("y", shape[0], out[0]), "fx": place("x", shape[1], out[1])})
     px = px.withColumns({"y0": F.floor("fy").cast("int"), "x0": F.floor("fx").cast("int")})
     corner = [F.struct(clamped(F.col("y0") + i, F.lit(shape[0])).alias("sy"), clamped(F.col("x0") + j, F.lit(shape[1])).alias("sx"), ((1 - F.abs(F.col("fy") - F.col("y0") - i)) * (1 - F.abs(F.col("fx") - F.col("x0") - j))).alias("w")) for i in (0, 1) for j in (0, 1)]
     four = px.select("y", "x", F.explode(F.array(*corner)).alias("c")).select("y", "x", "c.*")
-    source = raster.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("_v"))
+    source = terrain.select(F.col("y").alias("sy"), F.col("x").alias("sx"), *columns)
     # Spark takes an exploded table to be as small as it was before, and would send all pixels to the driver.
-    return four.join(source.hint("merge"), ["sy", "sx"]).groupBy("y", "x").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
+    return four.join(source.hint("merge"), ["sy", "sx"]).groupBy("y", "x").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
+
+
+def bilinear(raster: DataFrame, value: str, shape: tuple[int, int], out: tuple[int, int]) -> DataFrame:
+    """`value` resampled to out = (rows, columns), corners on corners."""
+    return resampled_terrain(raster, shape, out, (value,))
 
 
 def upsampled(grid: DataFrame, value: str, shape: tuple[int, int], out: tuple[int, int]) -> DataFrame:

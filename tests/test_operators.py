@@ -309,3 +309,13 @@ def test_bilinear_sends_no_pixels_to_the_driver(spark):
     square = spark.createDataFrame([(0, 0, 0.0), (0, 1, 2.0), (1, 0, 4.0), (1, 1, 6.0)], "y int, x int, dem double")
     got = {(r.y, r.x): r.dem for r in raster.bilinear(square, "dem", (2, 2), (3, 3)).collect()}
     assert got == {(y, x): 2.0 * y + x for y in range(3) for x in range(3)}
+
+
+def test_terrain_is_resampled_in_one_pass(spark):
+    kinds = "y int, x int, dem double, slope double, aspect double"
+    tall = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0), (23999, 49, 2.0, 3.0, 4.0)], kinds)
+    plan = raster.resampled_terrain(tall, (24000, 50), (36000, 75))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
+    square = spark.createDataFrame([(0, 0, 0.0, 1.0, None), (0, 1, 2.0, 1.0, None), (1, 0, 4.0, 1.0, None), (1, 1, 6.0, 1.0, None)], kinds)
+    got = {(r.y, r.x): (r.dem, r.slope, r.aspect) for r in raster.resampled_terrain(square, (2, 2), (3, 3)).collect()}
+    assert got == {(y, x): (2.0 * y + x, 1.0, None) for y in range(3) for x in range(3)}
