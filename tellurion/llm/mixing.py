@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +137,13 @@ def balanced(per: DataFrame) -> DataFrame:
     return written(per.withColumn("rates", F.when(F.col("free"), _rates(F.col("lam"), _array(mu))).otherwise(fixed)), "mix-rates")
 
 
+def _computed(rows: DataFrame) -> DataFrame:
+    """`rows` computed once, for narrow rows that are read several times.  Spark keeps them as blocks, not as a
+    file for each task, for each of which a local file system starts processes (chmod).  What is lost is
+    computed again from the last table written."""
+    return rows.persist(StorageLevel.DISK_ONLY)
+
+
 def _prefix(rows: DataFrame, keys: list[str], quota: str, more: str, left: str) -> DataFrame:
     """Adds `more`: how many of a row's `left` equal documents are taken, so that the first documents in the
     order of the hash within `keys` are, as long as their words come to `quota` at most.  Slices are summed
@@ -178,7 +186,9 @@ def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text", key:
     rows = written(rows, "mix-rows")
     band = F.least(F.floor(F.log2(F.greatest("size", F.lit(1)))), F.lit(BANDS - 1)).cast("int")
     thin = rows.drop("carry").withColumn("_band", band).withColumn("_slice", F.pmod(F.shiftright("_hash", 20), F.lit(SLICES)).cast("int"))
-    cells = written(thin.groupBy("_source", "_band").agg(F.sum(F.col("size") * F.col("rows")).alias("size")), "mix-cells")
+    cells = thin.groupBy("_source", "_band").agg(F.sum(F.col("size") * F.col("rows")).alias("size"))
+    # A few numbers for each source: as many files as cores, not as partitions.
+    cells = written(cells.coalesce(docs.sparkSession.sparkContext.defaultParallelism), "mix-cells")
     words = cells.groupBy(F.col("_source").alias("_s")).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("_band") == b, F.col("size"))), F.lit(0)).cast("double") for b in range(BANDS)]).alias("words"))
     per = source_targets(cells, "_source").join(words, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     per = balanced(per)
@@ -197,7 +207,7 @@ def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text", key:
 
     spare = F.when((F.col("copies") < LIMIT) & (F.col("size") > 0), F.col("rows") - F.col("_first")).otherwise(0)
     thin = _with_source(thin, missing(F.col("copies") * F.col("rows") + F.col("_first"), "_lack")).withColumn("_spare", spare)
-    thin = written(_prefix(thin, ["_source"], "_lack", "_second", "_spare").drop("_lack"), "mix-second")
+    thin = _computed(_prefix(thin, ["_source"], "_lack", "_second", "_spare").drop("_lack"))
     thin = _with_source(thin, missing(F.col("copies") * F.col("rows") + F.col("_first") + F.col("_second"), "_lack"))
     miss = F.abs(F.col("size") - F.col("_lack"))
     last = thin.where((F.col("_spare") > F.col("_second")) & (miss < F.col("_lack"))).groupBy(F.col("_source").alias("_s"))

@@ -387,6 +387,32 @@ def test_mixing_of_equal_rows_and_null_ids(spark):
         assert all(0 <= r.more <= r.rows and r.copies + (r.more > 0) <= 3 for r in mine)
 
 
+def test_mixing_of_many_sources_writes_few_files(spark, monkeypatch):
+    files, write = {}, mixing.written
+
+    def counted(df, tag):
+        out = write(df, tag)
+        files[tag] = max(files.get(tag, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(mixing, "written", counted)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        d = spark.createDataFrame([(i, "w " * (i % 40 + 1), "en", f"s{i % 100}", 0) for i in range(2000)], SHAPE)
+        got = mixing.mixed_copies(d, carry=["source"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 2000 and files["mix-cells"] <= spark.sparkContext.defaultParallelism and "mix-second" not in files
+    taken = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[r.source] - r.target) <= 20 for r in got)
+
+
 _words = {}
 
 
