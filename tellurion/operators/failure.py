@@ -27,8 +27,11 @@ def failures(monthly: DataFrame, points: list[int]) -> DataFrame:
     rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, points)))).where("months >= n and r <= n and inverse is not null")
     rows = rows.withColumn("t0", F.min("month").over(Window.partitionBy("pid", "n"))).withColumn("t", F.datediff("month", "t0").cast("double"))
     fits = rows.groupBy("pid", "n", "t0").agg(F.count("*").alias("c"), F.regr_slope("inverse", "t").alias("m"), F.regr_intercept("inverse", "t").alias("b")).where("c >= 2 and m < 0")
-    fits = fits.withColumn("days", -F.col("b") / F.col("m")).where((F.col("days") > 0) & (F.col("days") <= F.datediff(F.lit("2100-01-01").cast("date"), "t0")))
-    return fits.select("pid", "n", F.timestamp_seconds(F.unix_seconds(F.col("t0").cast("timestamp")) + F.floor(F.col("days") * 86400)).alias("failure_date"))
+    # A line that meets 0 at a whole second, midnight mostly, gets there but for the sums' rounding, which is far less
+    # than half a thousandth of a second; without this the order of the rows would decide on the day.
+    fits = fits.withColumn("seconds", F.round(-F.col("b") / F.col("m") * 86400, 3))
+    fits = fits.where((F.col("seconds") > 0) & (F.col("seconds") <= F.datediff(F.lit("2100-01-01").cast("date"), "t0") * 86400.0))
+    return fits.select("pid", "n", F.timestamp_seconds(F.unix_seconds(F.col("t0").cast("timestamp")) + F.floor("seconds")).alias("failure_date"))
 
 
 def failure_months(found: DataFrame) -> DataFrame:

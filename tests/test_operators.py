@@ -319,3 +319,20 @@ def test_terrain_is_resampled_in_one_pass(spark):
     square = spark.createDataFrame([(0, 0, 0.0, 1.0, None), (0, 1, 2.0, 1.0, None), (1, 0, 4.0, 1.0, None), (1, 1, 6.0, 1.0, None)], kinds)
     got = {(r.y, r.x): (r.dem, r.slope, r.aspect) for r in raster.resampled_terrain(square, (2, 2), (3, 3)).collect()}
     assert got == {(y, x): (2.0 * y + x, 1.0, None) for y in range(3) for x in range(3)}
+
+
+#: Series of three months by discount in hundredths, and the midnight at which their line meets 0.
+MIDNIGHTS = [(D(1995, 3, 1), (7, 8, 7), D(2036, 1, 1)), (D(1995, 7, 1), (7, 1, 1), D(1995, 8, 1)), (D(1995, 7, 1), (8, 2, 10), D(1995, 9, 1))]
+
+
+def _at_midnight(spark, which):
+    rows = []
+    for pid, k in enumerate(which):
+        first, discounts, _ = MIDNIGHTS[k]
+        rows += [(str(pid), D(first.year, first.month + i, 1), 1 / ((c / 100 - 0.05) * 10)) for i, c in enumerate(discounts)]
+    return failure.failures(spark.createDataFrame(rows, "pid string, month date, inverse double"), [3])
+
+
+def test_failure_at_midnight_is_of_the_day_that_begins(spark):
+    got = {r.pid: r.failure_date for r in _at_midnight(spark, (0, 1, 2)).collect()}
+    assert got == {str(k): dt.datetime(day.year, day.month, day.day) for k, (_, _, day) in enumerate(MIDNIGHTS)}
