@@ -336,3 +336,8 @@ def _at_midnight(spark, which):
 def test_failure_at_midnight_is_of_the_day_that_begins(spark):
     got = {r.pid: r.failure_date for r in _at_midnight(spark, (0, 1, 2)).collect()}
     assert got == {str(k): dt.datetime(day.year, day.month, day.day) for k, (_, _, day) in enumerate(MIDNIGHTS)}
+
+
+def test_failures_at_midnight_count_for_the_month_that_begins(spark):
+    got = failure.failure_months(_at_midnight(spark, (0, 1, 1, 2))).collect()
+    assert sorted(map(tuple, got)) == [(3, "1995-08", 2), (3, "1995-09", 1), (3, "2036-01", 1)]
