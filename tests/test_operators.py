@@ -341,3 +341,8 @@ def test_failure_at_midnight_is_of_the_day_that_begins(spark):
 def test_failures_at_midnight_count_for_the_month_that_begins(spark):
     got = failure.failure_months(_at_midnight(spark, (0, 1, 1, 2))).collect()
     assert sorted(map(tuple, got)) == [(3, "1995-08", 2), (3, "1995-09", 1), (3, "2036-01", 1)]
+
+
+def test_mode_counts_failures_at_midnight(spark):
+    got = failure.likeliest(failure.failure_months(_at_midnight(spark, (0, 1, 1, 2)))).collect()
+    assert [(r.n, r.month, r.cnt) for r in got] == [(3, "1995-08", 2)]
