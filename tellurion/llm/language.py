@@ -142,8 +142,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch in texts:
             yield pd.DataFrame([model.predict(x) for x in batch], columns=["lang_pred", "score"])
 
+    # Called nondeterministic so that a filter on lang_pred isn't pushed below and computed by a call of its own,
+    # in a second Python worker for each task.
+    once = predicted.asNondeterministic()
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predicted(F.col(text)).alias("_p")).select(*kept, "_p.lang_pred", "_p.score")
+    return docs.select(*kept, once(F.col(text)).alias("_p")).select(*kept, "_p.lang_pred", "_p.score")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,12 @@ def test_language_stage(spark, docs):
     assert corpus_pipeline.language(spark, docs.limit(0), DIR).columns == docs.columns
 
 
+def test_language_and_toxicity_run_their_model_once_a_text(spark, docs):
+    for stage in (corpus_pipeline.language, corpus_pipeline.toxicity):
+        plan = stage(spark, docs, DIR)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
 def test_toxicity_stage(spark, docs):
     model = toxicity.fit_toxicity(docs, table(spark, DIR, "labels"))
     want = Counter(tuple(r) for r in docs.collect() if model.score(r.text)[0] <= 0.5)
